@@ -1 +1 @@
-
+"""Scalar, map, time and template functions as Column builders."""

@@ -1 +1 @@
-
+"""Decoders of wire formats, file readers, and sinks."""
