@@ -9,16 +9,21 @@ for their contents.
    buckets of the hash space and kept as one table of fixed size with a byte
    (the logarithm of the count) per slot.  Any order is correct; this one keeps
    passages that many documents share out of the prefixes.
-3. Index: each set posts the first part of its sorted shingles (the prefix that
-   two linked sets must have in common) with the set's size and the shingle's
-   position.
+   A second table has a bit per slot for shingles of two sets or more.  Others
+   are in no overlap, so sets are compared by their shared shingles only.
+3. Index: each set posts the first part of its sorted shared shingles (the prefix
+   that two linked sets must have in common) with the set's size, the count of
+   its shared shingles, the shingle's position among them, and the counts of
+   shared shingles in each of 32 classes of the hash.
 4. Answers from similar sets: within each list, sorted by size, neighbours are
-   verified first.  Linked sets become one component; a member's answers are
-   then those of its component, except for sets outside it.
+   verified first, and each set with the likeliest original of its size.  Linked
+   sets become one component; a member's answers are then those of its
+   component, except for sets outside it.
 5. Index-level skipping: in lists that still hold several components, blocks of
    (size, position) are compared as wholes and skipped when sizes or positions
-   rule out a link, and so are blocks of one component.  Remaining pairs of
-   different components are verified, and components are joined for good.
+   rule out a link, and so are blocks of one component.  Pairs of different
+   components are kept if the sum of the lesser counts of all classes allows a
+   link, then verified, and components are joined for good.
 
 Defined results: a document without words has an empty set, links with nothing
 and is its own component; repeated rows and ids are members of one component; a
@@ -92,9 +97,14 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(rows)])
 
 
-def _rows16(col: pa.Array) -> np.ndarray:
+def _rows(col: pa.Array, size: int) -> np.ndarray:
+    """The rows of a binary column of equally long values."""
     d, o = K.buffers(col)
-    return d[o[0] : o[-1]].reshape(-1, 16)
+    return d[o[0] : o[-1]].reshape(-1, size)
+
+
+def _hist(col: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(_rows(col, 64)).view("<u2")
 
 
 class Join:
@@ -126,9 +136,15 @@ class Join:
 
     # -- 2. order
 
-    def levels(self, total: int) -> tuple[bytes, int]:
-        """Table of 2**m bytes by the first m bits of a shingle's hash: 0 for at most one set, else log2 of the count."""
-        m = min(26, max(16, int(max(total, 2) - 1).bit_length() - 2))
+    def levels(self, total: int) -> tuple[bytes, int, bytes, int]:
+        """Tables by the first bits of a shingle's hash.
+
+        2**m bytes: the logarithm of the count.  2**w bits: in two sets or more.
+        Both have an upper bound, beyond which slots are shared by more shingles:
+        that costs selectivity, never links.
+        """
+        m = min(24, max(16, int(max(total, 2) - 1).bit_length() - 3))
+        w = m + 4
         b = min(m - 4, 16, max(4, int(max(total, 2) // 500_000).bit_length()))
         k = self.k
 
@@ -150,7 +166,7 @@ class Join:
                         seen.add(s)
                         held.append(u)
                         size += len(u)
-                        if size >= 6_000_000:
+                        if size >= 3_000_000:
                             yield out()
                             held, size = [], 0
             if held:
@@ -166,83 +182,103 @@ class Join:
             many = n >= 2
             table = np.zeros(1 << (m - b), np.uint8)
             np.maximum.at(table, keys[many] >> np.uint32(32 - (m - b)), np.log2(n[many]).astype(np.uint8))
-            return pa.table({"bucket": t.column("bucket")[:1], "level": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
+            bits = np.zeros(1 << (w - b), np.uint8)
+            bits[keys[many] >> np.uint32(32 - (w - b))] = 1
+            both = [zlib.compress(x.tobytes(), 1) for x in (table, np.packbits(bits, bitorder="little"))]
+            return pa.table({"bucket": t.column("bucket")[:1], "level": pa.array(both[:1], pa.binary()), "bits": pa.array(both[1:], pa.binary())})
 
         parts = self.texts.mapInArrow(count, "bucket int, keys binary, counts binary")
-        got = parts.groupBy("bucket").applyInArrow(reduce, "bucket int, level binary").collect()  # 2**m bytes at most
-        out = np.zeros(1 << m, np.uint8)
+        got = parts.groupBy("bucket").applyInArrow(reduce, "bucket int, level binary, bits binary").toLocalIterator()  # tables of fixed size
+        out, bits = np.zeros(1 << m, np.uint8), np.zeros(1 << (w - 3), np.uint8)
         for r in got:
             out[r.bucket << (m - b) : (r.bucket + 1) << (m - b)] = np.frombuffer(zlib.decompress(bytes(r.level)), np.uint8)
-        return out.tobytes(), m
+            bits[r.bucket << (w - b - 3) : (r.bucket + 1) << (w - b - 3)] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+        return out.tobytes(), m, bits.tobytes(), w
 
     # -- 3. index
 
-    def postings(self, table: bytes, m: int) -> DataFrame:
-        """(o, n, pos, sig): prefix shingles that more than one set may have."""
+    def postings(self, table: bytes, m: int, bits: bytes, w: int) -> DataFrame:
+        """(o, n, c, pos, sig, hist): prefixes of the shared shingles of each set that can have a link."""
         k, num, den = self.k, self.num, self.den
-        shared = self.spark.sparkContext.broadcast(table)
+        shared = self.spark.sparkContext.broadcast((table, bits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            level = np.frombuffer(shared.value, np.uint8)
+            level, many = (np.frombuffer(x, np.uint8) for x in shared.value)
             seen: set[bytes] = set()
             for b in batches:
-                os, ns, ps, sigs = [], [], [], []
+                os, ns, cs, ps, sigs, hists = [], [], [], [], [], []
                 for _, u, s in scan(b.column(0), k):
                     n = len(u)
                     if not n or s in seen:
                         continue
                     seen.add(s)
-                    prefix = n - -(-num * n // den) + 1
+                    slot = u >> np.uint64(64 - w)
+                    u = u[(many[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                    prefix = len(u) + num * -n // den + 1  # an overlap has num / den of each set at least
+                    if prefix < 1 or not len(u):
+                        continue
                     o = level[u >> np.uint64(64 - m)].astype(np.uint64) << np.uint64(56) | u >> np.uint64(8)
                     o = np.sort(np.partition(o, prefix - 1)[:prefix])
-                    at = np.flatnonzero(o >> np.uint64(56))
-                    if len(at):
-                        os.append(o[at])
-                        ps.append(at)
-                        ns.append(n)
-                        sigs.append(s)
+                    os.append(o)
+                    ps.append(np.arange(prefix))
+                    ns.append(n)
+                    cs.append(len(u))
+                    sigs.append(s)
+                    hists.append(np.minimum(np.bincount((u & np.uint64(31)).astype(np.int64), minlength=32), 65535).astype("<u2").tobytes())
                 if os:
                     each = [len(x) for x in os]
-                    sig = np.repeat(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 16), each, axis=0)
-                    yield _table({"o": pa.array(np.concatenate(os).astype(np.int64)), "n": pa.array(np.repeat(np.array(ns, np.int64), each)), "pos": pa.array(np.concatenate(ps).astype(np.int64)), "sig": _binary(sig)})
+                    wide = lambda x, size: _binary(np.repeat(np.frombuffer(b"".join(x), np.uint8).reshape(-1, size), each, axis=0))
+                    long = lambda x: pa.array(np.repeat(np.array(x, np.int64), each))
+                    yield _table({"o": pa.array(np.concatenate(os).astype(np.int64)), "n": long(ns), "c": long(cs), "pos": pa.array(np.concatenate(ps).astype(np.int64)), "sig": wide(sigs, 16), "hist": wide(hists, 64)})
 
-        return self.tmp.keep(self.texts.mapInArrow(run, "o long, n long, pos long, sig binary"), "postings")
+        return self.tmp.keep(self.texts.mapInArrow(run, "o long, n long, c long, pos long, sig binary, hist binary"), "postings")
 
     # -- 4. neighbours in lists
 
     def neighbours(self, postings: DataFrame) -> DataFrame:
-        """Pairs (a, b) of sets beside each other in a list."""
-        may = self._may_link
+        """Pairs (a, b) of sets beside each other in a list, and of each set with the
+        first of its size, which has the most shared shingles: the likely original
+        of which the others are edited copies.
+        """
+        may, need = self._may_link, self._need
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None
             for b in batches:
                 if not b.num_rows:
                     continue
-                o, n, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                sig = _rows16(b.column(3))
+                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [_rows(b.column(4), 16), _hist(b.column(5))]
                 if last is not None:
-                    o, n, pos, sig = (np.concatenate([x, y]) for x, y in zip(last, (o, n, pos, sig), strict=True))
-                last = (o[-1:], n[-1:], pos[-1:], sig[-1:])
-                ok = (o[1:] == o[:-1]) & (sig[1:] != sig[:-1]).any(axis=1) & may(n[:-1], pos[:-1], n[1:], pos[1:])
-                i = np.flatnonzero(ok)
-                if len(i):
-                    yield _pairs(sig[i], sig[i + 1])
-
-        # ranges may cut a long list: neighbours across a cut are left to the last step
-        ordered = postings.repartitionByRange("o", "n", "sig").sortWithinPartitions("o", "n", "sig")
+                    now = [np.concatenate([x, y]) for x, y in zip(last, now, strict=True)]
+                o, n, c, pos, sig, hist = now
+                fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (n[1:] != n[:-1])])
+                first = np.maximum.accumulate(np.where(fresh, np.arange(len(o)), 0))
+                last = [x[[first[-1], len(o) - 1]] for x in now]  # the next batch may go on with this size
+                here = np.arange(1, len(o))
+                i = np.concatenate([here - 1, first[1:]])
+                j = np.concatenate([here, here])
+                ok = (o[i] == o[j]) & (sig[i] != sig[j]).any(axis=1) & may(n[i], c[i], pos[i], n[j], c[j], pos[j])
+                i, j = i[ok], j[ok]
+                ok = (np.minimum(hist[i], hist[j]).sum(axis=1, dtype=np.int64) >= need(n[i], n[j])) | (n[i] > 65535)  # counts are 16 bits wide
+                if ok.any():
+                    yield _pairs(sig[i[ok]], sig[j[ok]])
+
+        # ranges may cut a long list: pairs across a cut are left to the last step
+        order = [F.col("o"), F.col("n"), F.desc("c"), F.col("sig")]
+        ordered = postings.repartitionByRange(*order).sortWithinPartitions(*order)
         return self.tmp.keep(ordered.mapInArrow(run, "a binary, b binary").distinct(), "neighbours")
 
+    # -- verification
+
     def _need(self, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
         """Least overlap of linked sets: ceil(t / (1 + t) * (n1 + n2))."""
         return -(-self.num * (n1 + n2) // (self.den + self.num))
 
-    def _may_link(self, n1, p1, n2, p2):
-        before, after = np.minimum(p1, p2), np.minimum(n1 - p1, n2 - p2) - 1
+    def _may_link(self, n1, c1, p1, n2, c2, p2):
+        """Whether sets with a common shingle at these positions among c1 and c2 shared ones may link."""
+        before, after = np.minimum(p1, p2), np.minimum(c1 - p1, c2 - p2) - 1
         return before + 1 + after >= self._need(n1, n2)
 
-    # -- verification
-
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link, by their whole sets; only sets in pairs are moved."""
         nodes = self.tmp.keep(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), f"{name}_nodes")
@@ -301,7 +337,7 @@ class Join:
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = _rows16(b.column(0))[:, :8].copy().view(">u8")[:, 0].astype(np.uint64) >> np.uint64(64 - m)
+                x = _rows(b.column(0), 16)[:, :8].copy().view(">u8")[:, 0].astype(np.uint64) >> np.uint64(64 - m)
                 x = np.unique(x)
                 seg = (x >> np.uint64(16)).astype(np.int32)
                 cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(x) else np.zeros(0, int)
@@ -324,7 +360,7 @@ class Join:
 
     def crossing(self, postings: DataFrame, labels: DataFrame, block: int = 512) -> DataFrame:
         """Pairs of sets of different components that lists and positions allow."""
-        p = postings.join(labels, postings.sig == labels.node, "left").select("o", "n", "pos", "sig", F.coalesce("label", "sig").alias("label"))
+        p = postings.join(labels, postings.sig == labels.node, "left").select("o", "n", "c", "pos", "sig", "hist", F.coalesce("label", "sig").alias("label"))
         p = self.tmp.keep(p, "labelled")
         mixed = p.groupBy("o").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("o")
         p = p.join(mixed, "o")
@@ -336,26 +372,26 @@ class Join:
             for b in batches:
                 if not b.num_rows:
                     continue
-                o, n, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                sig, lab = _rows16(b.column(3)), _rows16(b.column(4))
+                o, n, c, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                sig, hist, lab = _rows(b.column(4), 16), _hist(b.column(5)), _rows(b.column(6), 16)
                 cut = np.concatenate([[0], np.flatnonzero(o[1:] != o[:-1]) + 1, [len(o)]])
                 for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     if held and o[i] != at:
                         yield from join._list(held, block)
                         held = []
                     at = o[i]
-                    held.append((n[i:j], pos[i:j], sig[i:j], lab[i:j]))
+                    held.append((n[i:j], c[i:j], pos[i:j], sig[i:j], hist[i:j], lab[i:j]))
             if held:
                 yield from join._list(held, block)
 
-        ordered = p.repartition("o").sortWithinPartitions("o", "n", "sig")
+        ordered = p.repartition("o").sortWithinPartitions("o", "n", "c", "sig")
         return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
     def __getstate__(self) -> dict:  # workers need the thresholds only
         return {"num": self.num, "den": self.den}
 
     def _list(self, held: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
-        n, pos, sig, lab = (np.concatenate(x) for x in zip(*held, strict=True))
+        n, c_, pos, sig, hist, lab = (np.concatenate(x) for x in zip(*held, strict=True))
         _, lab = np.unique(np.ascontiguousarray(lab).view("V16")[:, 0], return_inverse=True)
         if not lab.any():
             return
@@ -368,14 +404,20 @@ class Join:
                 if lab[a:b].min() == lab[a:b].max() == lab[c:d].min() == lab[c:d].max():
                     continue
                 # a whole block is skipped if even its best positions rule out a link
-                best = min(pos[a:b].max(), pos[c:d].max()) + min((n[a:b] - pos[a:b]).max(), (n[c:d] - pos[c:d]).max())
+                best = min(pos[a:b].max(), pos[c:d].max()) + min((c_[a:b] - pos[a:b]).max(), (c_[c:d] - pos[c:d]).max())
                 if best < self._need(n[a], n[c]):
                     continue
-                ok = (lab[a:b, None] != lab[None, c:d]) & self._may_link(n[a:b, None], pos[a:b, None], n[None, c:d], pos[None, c:d])
+                ok = (lab[a:b, None] != lab[None, c:d]) & self._may_link(n[a:b, None], c_[a:b, None], pos[a:b, None], n[None, c:d], c_[None, c:d], pos[None, c:d])
                 i, j = np.nonzero(ok)
-                keep = i + a < j + c
-                if keep.any():
-                    yield _pairs(sig[i[keep] + a], sig[j[keep] + c])
+                i, j = i + a, j + c
+                keep = i < j
+                i, j = i[keep], j[keep]
+                for q in range(0, len(i), 1 << 16):  # the classes' counts bound the overlap
+                    x, y = i[q : q + (1 << 16)], j[q : q + (1 << 16)]
+                    keep = np.minimum(hist[x], hist[y]).sum(axis=1, dtype=np.int64) >= self._need(n[x], n[y])
+                    keep |= n[x] > 65535  # counts are 16 bits wide
+                    if keep.any():
+                        yield _pairs(sig[x[keep]], sig[y[keep]])
 
     # -- all
 

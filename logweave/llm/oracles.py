@@ -66,6 +66,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from o group by conv_id
 """
 
-OP7_NOTE = "the stored form's digests and features need bytes that SQL cannot build"
-
 ORACLES = {"op1_decontamination": OP1, "op5_line_dedup": OP5, "op6_chat_formatting": OP6}
