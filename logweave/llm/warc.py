@@ -99,7 +99,8 @@ def train(samples: list[bytes], size: int):
     """A dictionary, or None where there is too little to learn from."""
     import zstandard as Z
 
-    if len(samples) < 16 or sum(map(len, samples)) < 16 * size:
+    size = min(size, sum(map(len, samples)) // 16)
+    if len(samples) < 16 or size < 1024:
         return None
     try:
         return Z.train_dictionary(size, samples, level=3, steps=4, d=8, k=256)

@@ -1,0 +1,289 @@
+"""Queries against brute force on the small tables, and edge cases of every operator."""
+
+import io
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.llm import audio, chat, decontaminate, langid, linededup, ngramjoin, packing, pii, queries, toxicity, warc
+from logweave.llm.common import Scratch
+
+SMALL = "/root/testdata/sf0.001"
+PASSAGE = " ".join(f"word{i}" for i in range(60))
+#: Nulls, empty and blank texts, repeated rows, ties, and characters of several lengths.
+TEXTS = [
+    (1, None), (2, ""), (3, " \n\n\t"), (4, PASSAGE), (4, PASSAGE), (None, PASSAGE), (None, None), (5, "é" * 3 + " ß ￿ 🎈 " + PASSAGE.upper()), (6, "a b"), (7, "A B"), (8, "x " + PASSAGE + " y"),
+    (9, "\x00\x01 <|endoftext|> it's 12,34—ok  naïve"), (10, "line of twenty chars!\nshort\nLINE of twenty chars! \n"), (11, "line of twenty chars!"), (12, "\tline of twenty chars!"), (-5, "z"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    return df.withColumn("n", F.lit("clash")).withColumn("sig", F.lit(1)).withColumn("h", F.lit("x")).withColumn("lang", F.lit(None).cast("string"))
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def rows(df, *cols):
+    return Counter(tuple(r) for r in df.select(*cols).collect())
+
+
+def small(spark, name):
+    return spark.read.parquet(f"{SMALL}/{name}.parquet")
+
+
+def pairs(df, a, b):
+    return [(r[a], r[b]) for r in df.select(a, b).collect()]
+
+
+# --------------------------------------------------------------------------- queries on whole small tables
+
+
+def test_op1(spark):
+    got = rows(queries.op1_decontamination(spark, SMALL), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = brute.decontaminate(pairs(small(spark, "documents"), "doc_id", "text"), pairs(small(spark, "benchmark"), "item_id", "text"))
+    assert got == Counter(want) and any(r[2] for r in want)
+
+
+def test_op3(spark):
+    assert rows(queries.op3_warc(spark, SMALL), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == Counter(brute.warc(pairs(small(spark, "pages"), "page_id", "html")))
+
+
+def test_op5_op7_op8_op10(spark):
+    d = pairs(small(spark, "documents"), "doc_id", "text")
+    assert rows(queries.op5_line_dedup(spark, SMALL), "doc_id", "n_lines", "n_dropped", "kept_sha256") == Counter(brute.line_dedup(d))
+    assert rows(queries.op7_telephony(spark, SMALL), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == Counter((i, *brute.telephony(t)) for i, t in d)
+    spans = {i: brute.pii_base(t) for i, t in d}
+    assert rows(queries.op8_pii(spark, SMALL), "doc_id", "n_email", "base_sha256") == Counter((i, sum(s.startswith("email") for s in x), brute.sha(",".join(x))) for i, x in spans.items())
+    assert rows(queries.op10_ngram_jaccard(spark, SMALL), "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(d))
+
+
+def test_op4_op9(spark):
+    lang = {r.doc_id: r.lang for r in small(spark, "documents").collect()}
+    got = queries.op9_language_id(spark, SMALL).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got) and len(got) == len(lang)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    toxic = {r.doc_id: r.toxic for r in small(spark, "labels").collect()}
+    out = {r.doc_id: r.toxic for r in queries.op4_toxicity(spark, SMALL).collect()}
+    assert len(out) == len(lang) and np.mean([out[i] == (t == 1) for i, t in toxic.items()]) > 0.95
+
+
+def test_op6(spark):
+    c = [tuple(r) for r in small(spark, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    c += [(-1, 0, "user", queries.CONTROL_TEXT), (-1, 1, "assistant", queries.CONTROL_TEXT)]
+    assert rows(queries.op6_chat_formatting(spark, SMALL), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == Counter(brute.chat(c))
+
+
+# --------------------------------------------------------------------------- edge cases
+
+
+def test_decontaminate_edges(spark, docs, empty):
+    bench = spark.createDataFrame([(1, " ".join(f"Word{i}" for i in range(20, 45))), (10, "A, b!"), (2, None), (3, "..."), (10, "a B"), (7, "absent words here")], "item_id long, text string").withColumn("h", F.lit(0))
+    out = decontaminate.decontaminate(docs, bench)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), brute.sha(",".join(r["items"])), r.contaminated) for r in out.collect())
+    assert got == Counter(brute.decontaminate(TEXTS, pairs(bench, "item_id", "text"))) and sum(x[2] > 0 for x in got) >= 6
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+    assert rows(decontaminate.decontaminate(docs, bench.limit(0)), "n_hit", "contaminated") == Counter({(0, False): len(TEXTS)})
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha beta gamma"), (3, "gamma far far far alpha beta"), (4, "alpha beta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    tmp = Scratch(spark, "test")
+    p = decontaminate.Phrases(bench, 13, tmp)
+    index = decontaminate.build_index(docs, p, tmp)
+    ranked = decontaminate.rank_terms(index, p, tmp)
+    found = lambda slop: {r.doc_id for r in decontaminate.phrase_matches(index, ranked, tmp, slop).collect()}
+    assert found(0) == {2} and found(2) == {1, 2} and found(6) == {1, 2, 3}
+
+
+def test_line_dedup_edges(spark, docs, empty):
+    out = linededup.dedup_lines(docs.drop("h"))
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.text)) for r in out.collect())
+    want = brute.line_dedup(TEXTS)
+    assert got == Counter(want) and sum(r[2] for r in want) == 3
+    assert linededup.dedup_lines(empty).count() == 0 and out.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "h"]
+
+
+def test_chat_edges(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "user", "<|im_sep|>\\<|"), (1, 2, "assistant", None), (1, 2, "assistant", "<\\|x\\\\"), (1, None, "sys\ntem<|", "<"), (2, 5, None, "|im_end|>\n"), (None, 1, "assistant", "ü🎈"), (3, 1, "tool", "t"), (3, 1, "tool", "t")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))
+    out = chat.format_chats(df)
+    got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss, r.n_blocks) for r in out.select("conv_id", "n_blocks", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    assert got[1] == ([("sys\ntem<|", "<"), ("user", "a"), ("user", "<|im_sep|>\\<|"), ("assistant", ""), ("assistant", "<\\|x\\\\")], "<\\|x\\\\", 3)
+    assert got[2] == ([("", "|im_end|>\n")], "", 1) and got[None] == ([("assistant", "ü🎈")], "ü🎈", 1) and got[3][0] == [("tool", "t")] * 2
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_packing_edges(spark, docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    long = TEXTS + [(20, "the quick, brown fox's 42 jumps—über <|startoftext|> é " * 900), (21, "word " * 2047), (22, "word " * 4095)]
+    df = spark.createDataFrame(long, "doc_id long, text string").withColumn("offset", F.lit("x"))
+    out = packing.pack(df, path).collect()
+    want = Counter()
+    for i, t in long:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want[(i, len(ids), ids.tobytes())] += 1
+    parts: dict = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        parts.setdefault(r.sequence_id, []).append(r)
+    for p in parts.values():
+        assert [r.offset for r in p] == [0, *np.cumsum([r.length for r in p])[:-1].tolist()] and sum(r.length for r in p) <= 2048
+    whole: dict = {}
+    for r in out:
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, bytes(r.ids)))
+    joined = Counter()
+    for (i, n), p in whole.items():
+        text = b"".join(x for _, x in sorted(p, key=lambda x: x[0]))
+        if len(text) == 4 * n:
+            joined[(i, n, text)] += 1
+    assert all(joined[k] or v > 1 or k[0] is None for k, v in want.items()) and sum(r.length for r in out) == sum(k[1] * v for k, v in want.items())
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_differencing():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 257, 900)
+    got = packing.windows_of(sizes, 2048)
+    assert sorted(i for m in got for i in m) == list(range(900))
+    sums = [sizes[m].sum() for m in got]
+    assert max(sums) <= 2048 and max(sums) - min(sums) < 64 and len(got) <= -(-sizes.sum() // 2048) + 1
+    assert sorted(int(np.array([8, 7, 6, 5, 4])[m].sum()) for m in packing.difference(np.array([8, 7, 6, 5, 4]), 2)) == [14, 16]  # the known outcome of differencing
+    assert packing.windows_of(np.array([], int), 10) == []
+
+
+def test_warc_edges(spark):
+    pages = [(3, "x", "<p>é</p>"), (1, "y zé", "<p>é</p>"), (2, None, None), (5, "", ""), (None, "n", "<p>é</p>"), (7, "u", "a\r\n\r\nb"), (1, "again", "<p>é</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("d", F.lit(1))
+    tmp = Scratch(spark, "test")
+    arch = tmp.keep(warc.write_archives(df, tmp), "a")
+    got = rows(warc.read_archives(arch).select(warc.page_of(F.col("record_id")).alias("p"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("r")), "*")
+    assert got == Counter(brute.warc([(p, h) for p, _, h in pages]))
+    assert warc.read_archives(warc.write_archives(df.limit(0), tmp)).count() == 0
+
+
+def test_warc_archives_are_validated():
+    records = [warc.build_record(i, "http://a.example/", (f"<html>page {i} of many " + "common text " * 20).encode(), None, False) for i in range(400)]
+    raw = warc.write_archive(records)
+    assert raw[:4] == b"\x5d\x2a\x4d\x18"
+    got = list(warc.read_archive(raw))
+    assert [r["record_id"] for r in got] == [f"<urn:page:{i}>" for i in range(400)] and got[5]["payload"].startswith(b"<html>page 5")
+    assert [r["record_id"] for r in warc.read_archive(warc.write_archive(records[:3]))] == [f"<urn:page:{i}>" for i in range(3)]
+    import zstandard
+
+    plain = zstandard.ZstdCompressor().compress(records[0])
+    assert len(list(warc.read_archive(plain + b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc" + plain))) == 2
+    for bad in (raw[:-3], raw[:20], b"junkjunk", plain[:-1]):
+        with pytest.raises(warc.BadArchive):
+            list(warc.read_archive(bad))
+    for change in ((b"Content-Length: ", b"Content-Length: 9"), (b"WARC/1.1", b"WARC/9.9"), (b"WARC-Date", b"X-Date"), (b"page 0", b"page 9")):
+        with pytest.raises(warc.BadArchive):
+            warc.parse_record(records[0].replace(*change, 1))
+
+
+def test_audio_edges(spark, docs, empty):
+    out = audio.read_audio(audio.store_audio(docs, "text"))
+    assert rows(out, "n_bytes") == Counter((len((t or "").encode()),) for _, t in TEXTS) and out.where("error is not null").count() == 0
+    assert audio.read_audio(audio.store_audio(empty, "text")).count() == 0
+    bad = spark.createDataFrame([(None,), (b"RIFF",), (audio.wav(b"x", 85, 8000),)], "media binary")
+    assert audio.read_audio(bad).where("error is not null and pcm is null").count() == 3
+
+
+def test_codecs():
+    assert audio.MU[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and audio.AL[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    assert len(audio.STEPS) == 89
+    rng = np.random.default_rng(2)
+    blocks = rng.integers(0, 256, (7, 36)).astype(np.uint8)
+    blocks[:, 2], blocks[:, 3] = blocks[:, 2] % 89, 0
+    for b, got in zip(blocks, audio.decode_ima(blocks), strict=True):  # sample by sample
+        value, index, want = int(np.int16(int(b[0]) | int(b[1]) << 8)) if int(b[1]) < 128 else (int(b[0]) | int(b[1]) << 8) - 65536, int(b[2]), []
+        want.append(value)
+        for x in b[4:]:
+            for code in (int(x) & 15, int(x) >> 4):
+                step = int(audio.STEPS[index])
+                diff = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - diff if code & 8 else value + diff))
+                index = max(0, min(88, index + int(audio.INDEX_STEP[code])))
+                want.append(value)
+        assert got.tolist() == want
+    codec, rate, align, data = audio.parse_wav(audio.wav(blocks.tobytes(), audio.IMA, 8000, 36))
+    assert (codec, rate, align, data) == (17, 8000, 36, blocks.tobytes())
+    assert audio.resample(np.array([0, 10], np.int16), 8000, 16000).tolist() == [0, 5, 10, 10]
+    assert io.BytesIO(audio.wav(b"abc", audio.MULAW, 8000)).getbuffer().nbytes % 2 == 0
+
+
+def test_pii_edges(spark, docs, empty):
+    auto = pii.automaton()
+    tricky = ["a@b.c@d.e", "@@x@y.z.", "1.2.3.4.5.6.7.8", "1.2.3.400 0001.2.3.4", "4111 1111-1111 1111 9", "+1 (2)3-4.5 678901 +", "+12345678", "%._+-@-.-", "9" * 5000, "1." * 3000, "a" * 3000 + "@" * 50, "é+49 30 1234567é 🎈a@b.co"]
+    rng = np.random.default_rng(3)
+    tricky += ["".join(rng.choice(list("1234567890.@+-() a_é"), 60)) for _ in range(400)]
+    for t in tricky:
+        got = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.find(t, auto) if k < 4]
+        assert got == brute.pii_base(t), t
+    extra = "IBAN: DE89 3704 0044 0532 0130 00, see https://a.b/c?d=1. at 12 Main Street or Hauptstraße 5"
+    found = [(pii.KINDS[k], extra[a:b]) for k, a, b in pii.find(extra, auto) if k > 3]
+    assert found == [("account", "DE89 3704 0044 0532 0130 00"), ("address", "12 Main Street"), ("address", "Hauptstraße 5"), ("url", "https://a.b/c?d=1")]
+    assert pii.find_pii(docs).count() == len(TEXTS) and pii.find_pii(empty).count() == 0
+
+
+def test_language_edges(spark, docs, empty):
+    assert langid.train_langid(docs) is None and langid.train_langid(empty) is None
+    assert rows(langid.identify(docs, None), "lang_pred", "score") == Counter({("und", 0.0): len(TEXTS)})
+    x = np.array([[97, 98] * 64, [120, 121] * 64] * 40, np.uint8)
+    net = langid.train(x, np.array([0, 1] * 40), ["ab", "xy"], epochs=4)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "ababab"), (2, "xyxy" * 99), (3, None), (4, "12 ½ ."), (5, "")], "doc_id long, text string"), net).collect()}
+    assert got == {1: "ab", 2: "xy", 3: "und", 4: "und", 5: "und"}
+    fast, h = langid.Fast(net), langid._pool(net, x)[0]
+    z = np.maximum(h, 0) @ net.out + net.out_bias
+    slow = np.exp(z - z.max(axis=1, keepdims=True))
+    assert np.abs(fast.probabilities(x) - slow / slow.sum(axis=1, keepdims=True)).max() < 0.01
+
+
+def test_toxicity_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    chain = toxicity.train_chain(docs, none)
+    assert toxicity.score_toxicity(docs, chain).where("p_toxic >= 0.5").count() == 0 and toxicity.score_toxicity(empty, chain).count() == 0
+    d = spark.createDataFrame([(i, f"plain words here {'nasty' if i % 3 == 0 else 'nice'} thing{i % 7}") for i in range(90)], "doc_id long, text string")
+    l = spark.createDataFrame([(i, None if i % 5 else 0, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, 1, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    out = toxicity.score_toxicity(d, toxicity.train_chain(d, l)).where("doc_id >= 60").collect()
+    assert all((r.p_toxic >= 0.5) == (r.doc_id % 3 == 0) for r in out)
+
+
+def test_jaccard_edges(spark, docs, empty):
+    assert rows(ngramjoin.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(TEXTS))
+    assert ngramjoin.jaccard_components(empty).count() == 0
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (2, 60)])
+def test_jaccard_on_edited_copies(spark, k, num):
+    """Groups of copies with edits, around the threshold, that share a passage with unlike documents."""
+    rng = np.random.default_rng(num)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    passage, texts = [word() for _ in range(40)], []
+    for _ in range(6):
+        base = [word() for _ in range(int(rng.integers(30, 160)))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 9))):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + int(rng.integers(0, 2))] = [word()] * int(rng.integers(0, 2))
+            texts.append(w)
+    texts += [[word() for _ in range(int(rng.integers(5, 90)))] + passage for _ in range(60)]
+    rows_ = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
+    want = brute.jaccard(rows_, k, num, 100)
+    assert rows(ngramjoin.jaccard_components(df, k, num, 100), "doc_id", "n_shingles", "component_id") == Counter(want)
+    assert 40 < len({w[2] for w in want}) < len(want)  # the fixture has links and documents without any
