@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gotime, maps, regex
@@ -60,3 +60,32 @@ def parser(
         return add_rules({t: r for t, r in (add or {}).items() if t in tags})(df)
 
     return run
+
+
+def parse_columns(
+    df: DataFrame, text: Column, pattern: str, *, json_key: str = "", json_fields: dict[str, str] | None = None, must_include: str = "", time_key: str = "", time_format: str = "",
+    append_time_zone: str = "", new_time_key: str = "timestamp", new_time_format: str = DEFAULT_NEW_LAYOUT, tz_sep: str = "",
+) -> DataFrame:
+    """The parser's steps for outputs that are known beforehand, as typed columns.
+
+    Where the named groups and the wanted JSON fields are known, no message map
+    is built: the pattern runs once, JSON is read with a schema, and Catalyst
+    prunes what is not selected.  Rows that the parser would drop are dropped; a
+    null text is dropped too, as it has no groups.
+    """
+    d = once(df, __p=regex.captures(text, pattern)).where("__p is not null")
+    groups = regex.named(F.col("__p"), pattern)
+    out = dict(groups)
+    if json_key:
+        inner = F.from_json(groups[json_key], ", ".join(f"`{k}` {t}" for k, t in (json_fields or {}).items()))
+        d = once(d, __j=inner)
+        out |= {k: F.col("__j").getField(k) for k in json_fields or {}}
+        del out[json_key]
+    if time_key:
+        at = gotime.parse(F.replace(F.concat(groups[time_key], F.lit(tz_sep + append_time_zone if append_time_zone else "")), F.lit(","), F.lit(".")), time_format)
+        d = once(d, __at=at).where("__at is not null")
+        del out[time_key]
+        out[new_time_key] = gotime.show(F.col("__at"), new_time_format)
+    if must_include:
+        d = d.where(out[must_include].isNotNull())
+    return d.select(*df.columns, *[c.alias(n) for n, c in out.items() if n not in df.columns])

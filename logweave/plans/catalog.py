@@ -36,6 +36,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a scan has far fewer partitions than there are cores.
+
+    A small file with one row group is one task.  Larger inputs have partitions
+    enough and are left alone, so this never shuffles much.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 # --------------------------------------------------------------------------- inputs
 
 PATTERN = r"(?s)^(?P<time>\d{4}-\d{2}-\d{2} +\d{2}:\d{2}:\d{2}\.\d{3}) *\| *(?P<app>[^ |]+) *\| *(?P<level>[^ |]+) *\| *(?P<thread>[^ |]+) *\| *(?P<class>[^ |]+) *\| *(?P<line>\d+): *(?P<args>\{.*\}): *(?P<message>.*)$"
@@ -54,12 +64,12 @@ LINE = """strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' | app' || (user_id % 7) || '
 
 
 def service_log(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     return envelope(e, F.lit("app.sit"), {"log": log_line(), "container_id": F.concat(F.lit("c"), F.col("user_id") % 7)}, F.col("event_id"), F.col("ts"))
 
 
 def event_records(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     values = {"log": log_line(), "user": F.col("user_id"), "kind": F.col("event_type"), "props": F.col("props")}
     return envelope(e, F.concat("event_type", F.lit(".sit")), values, F.col("event_id"), F.col("ts"))
 
@@ -97,9 +107,18 @@ _PARSED = f"""(select event_id, regexp_extract(l, '{PATTERN}', ['time', 'app', '
   cast(json_extract(g.args, '$.k') as bigint) as k,
   strftime(strptime(g.time, '%Y-%m-%d %H:%M:%S.%g') - interval 8 hour, '%Y-%m-%dT%H:%M:%S.%fZ') as timestamp from {_PARSED}""")
 def parse_service_log(spark, sf):
-    """Flagship: groups, JSON merge and time of every service log line."""
-    out = to_columns(_SERVICE(service_log(spark, sf)), {"app": "string", "level": "string", "thread": "string", "class": "string", "line": "string", "message": "string", "k": "bigint", "@timestamp": "string"}, ("id",))
-    return out
+    """Flagship: groups, JSON fields and time of every service log line, as columns."""
+    e = spread(table(spark, sf, "events")).select(F.col("event_id").alias("id"), log_line().alias("log"))
+    out = parse.parse_columns(e, F.col("log"), PATTERN, json_key="args", json_fields={"k": "bigint"}, must_include="app", time_key="time", time_format="2006-01-02 15:04:05.000-0700", append_time_zone="+0800")
+    return out.drop("log")
+
+
+@query(f"""select event_id as id, trim(g.app) as app, trim(g.level) as level, trim(g.thread) as thread, trim(g.class) as class, trim(g.line) as line, trim(g.message) as message,
+  cast(json_extract(g.args, '$.k') as bigint) as k,
+  strftime(strptime(g.time, '%Y-%m-%d %H:%M:%S.%g') - interval 8 hour, '%Y-%m-%dT%H:%M:%S.%fZ') as timestamp from {_PARSED}""")
+def parse_service_records(spark, sf):
+    """The same as records: groups and JSON go into the message map."""
+    return to_columns(_SERVICE(service_log(spark, sf)), {"app": "string", "level": "string", "thread": "string", "class": "string", "line": "string", "message": "string", "k": "bigint", "@timestamp": "string"}, ("id",))
 
 
 @query(f"""select trim(g.app) as app, trim(g.level) as level, count(*) as n from {_PARSED} group by 1, 2""")
@@ -136,7 +155,7 @@ def must_include(spark, sf):
   from orders join customer on o_custkey = c_custkey""")
 def json_merge_flatten(spark, sf):
     """A nested JSON body is merged into the record and its objects are opened."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    o, c = spread(table(spark, sf, "orders")), table(spark, sf, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
     segment = F.struct(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("nation"))
     body = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), segment.alias("segment")).alias("customer")))
@@ -174,7 +193,7 @@ def ignore_regex_mark(spark, sf):
 @query("""select doc_id as id, case when regexp_matches(text, '@[a-z]+') then 'mail.sit' when regexp_matches(text, '(?i)copyright|license') then 'legal.sit' else 'spring.sit' end as tag,
   case when regexp_matches(text, '@[a-z]+') then 'mail.sit' when regexp_matches(text, '(?i)copyright|license') then 'legal.sit' end as tag_field from documents""")
 def retag_first_match(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     rec = envelope(d, F.lit("spring.sit"), {"log": F.col("text")}, F.col("doc_id"))
     f = filters.retag("spring.sit", [("mail.sit", "@[a-z]+"), ("legal.sit", "(?i)copyright|license")])
     out = filters.acceptor_pipeline([f, filters.accept(remove_empty_tag=True)])(rec)
@@ -263,7 +282,7 @@ def template_fields(spark, sf):
 
 
 def _lineitems(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     values = {"part": F.col("l_partkey"), "flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "level": F.lit("INFO")}
     return envelope(li, F.lit("l.sit"), values, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
@@ -432,7 +451,7 @@ def union_receivers(spark, sf):
 def forward_codec_roundtrip(spark, sf):
     """Records encoded as frames and decoded again."""
     e = table(spark, sf, "events")
-    rec = envelope(e, (F.col("user_id") % 3).cast("string"), {"id": F.col("event_id"), "kind": F.col("event_type"), "none": F.lit(None).cast("string")}, F.col("event_id"))
+    rec = envelope(spread(e), (F.col("user_id") % 3).cast("string"), {"id": F.col("event_id"), "kind": F.col("event_type"), "none": F.lit(None).cast("string")}, F.col("event_id"))
     back = decoders.decode_forward(decoders.encode_forward(rec).select("body"))
     out = back.select(F.col("tag").cast("bigint").alias("tag_no"), F.try_variant_get(F.col("message")["id"], "$", "bigint").alias("id"), maps.text(F.col("message"), "kind").alias("kind"))
     return out.groupBy("tag_no").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_distinct("kind").alias("kinds"))
