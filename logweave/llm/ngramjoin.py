@@ -188,7 +188,7 @@ class Join:
             return pa.table({"bucket": t.column("bucket")[:1], "level": pa.array(both[:1], pa.binary()), "bits": pa.array(both[1:], pa.binary())})
 
         parts = self.texts.mapInArrow(count, "bucket int, keys binary, counts binary")
-        got = parts.groupBy("bucket").applyInArrow(reduce, "bucket int, level binary, bits binary").toLocalIterator()  # tables of fixed size
+        got = parts.groupBy("bucket").applyInArrow(reduce, "bucket int, level binary, bits binary").collect()  # tables of fixed size: 48 MB at most, in one job
         out, bits = np.zeros(1 << m, np.uint8), np.zeros(1 << (w - 3), np.uint8)
         for r in got:
             out[r.bucket << (m - b) : (r.bucket + 1) << (m - b)] = np.frombuffer(zlib.decompress(bytes(r.level)), np.uint8)
