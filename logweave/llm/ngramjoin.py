@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as K
-from .components import components
+from .components import components, extend
 
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -437,7 +437,7 @@ class Join:
         K.release(self.spark)
         again = self.verify(more, "second")
         if again.limit(1).count():
-            labels = self.tmp.keep(components(links.unionByName(again), self.tmp, "dd"), "labels2")
+            labels = self.tmp.keep(extend(labels, again, self.tmp, "dd"), "labels2")
         # the least id of each component, for nodes whose members may differ from it
         named = nodes.join(labels, nodes.sig == labels.node, "left").where("members > 1 or label is not null")
         named = named.select("sig", "first", F.coalesce("label", "sig").alias("label"))
