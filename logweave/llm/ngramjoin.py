@@ -16,7 +16,8 @@ for their contents.
    its shared shingles, the shingle's position among them, and the counts of
    shared shingles in each of 32 classes of the hash.
 4. Answers from similar sets: within each list, sorted by size, neighbours are
-   verified first, and each set with the likeliest original of its size.  Linked
+   verified first, and each set with the likeliest originals about its size, found
+   by an aggregate so that it does not matter how lists are dealt out.  Linked
    sets become one component; a member's answers are then those of its
    component, except for sets outside it.
 5. Index-level skipping: in lists that still hold several components, blocks of
@@ -32,6 +33,7 @@ component of null ids only has a null id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -263,10 +265,38 @@ class Join:
                 if ok.any():
                     yield _pairs(sig[i[ok]], sig[j[ok]])
 
-        # ranges may cut a long list: pairs across a cut are left to the last step
+        # ranges may cut a long list: neighbours across a cut are left to the last step
         order = [F.col("o"), F.col("n"), F.desc("c"), F.col("sig")]
         ordered = postings.repartitionByRange(*order).sortWithinPartitions(*order)
-        return self.tmp.keep(ordered.mapInArrow(run, "a binary, b binary").distinct(), "neighbours")
+        pairs = ordered.mapInArrow(run, "a binary, b binary")
+        return self.tmp.keep(pairs.unionByName(self.originals(postings)).distinct(), "neighbours")
+
+    def originals(self, postings: DataFrame) -> DataFrame:
+        """Pairs of each set with the likely originals of its list: in each class of
+        sizes, and in those beside it, the set with the largest share of shared shingles.
+
+        An edit makes shingles that no other set has, so copies have a smaller share.
+        At most three pairs a posting; the aggregate is combined before the shuffle.
+        """
+        may, need = self._may_link, self._need
+        width = max(math.log(self.den / self.num) / 2, 0.01)
+        of = postings.withColumn("size", F.floor(F.log("n") / width))
+        best = F.min(F.struct((-F.col("c") / F.col("n")).alias("rank"), "sig", "n", "c", "pos", "hist")).alias("top")
+        tops = of.groupBy("o", "size").agg(best)
+        tops = tops.select("o", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), *[F.col(f"top.{c}").alias(f"{c}2") for c in ("n", "c", "pos", "sig", "hist")])
+        both = of.join(tops, ["o", "size"]).where("sig != sig2").select("n", "c", "pos", "sig", "hist", "n2", "c2", "pos2", "sig2", "hist2")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                n, c, pos, n2, c2, pos2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 5, 6, 7))
+                overlap = np.minimum(_hist(b.column(4)), _hist(b.column(9))).sum(axis=1, dtype=np.int64)
+                ok = may(n, c, pos, n2, c2, pos2) & ((overlap >= need(n, n2)) | (n > 65535) | (n2 > 65535))
+                if ok.any():
+                    yield _pairs(_rows(b.column(3), 16)[ok], _rows(b.column(8), 16)[ok])
+
+        return both.mapInArrow(check, "a binary, b binary")
 
     # -- verification
 
