@@ -14,7 +14,8 @@ from .concat import stream_concat
 
 
 def stitched(df: DataFrame, spec: PipelineSpec) -> DataFrame:
-    """Records of the concat rules' tags through the stateful operator.
+    """Records of the concat rules' tags through the stateful operator; others, and
+    records that lack the text or identifier, pass.
 
     Fields besides the text are those every line of an identifier shares: the
     tag, the text and the identifier.
@@ -24,11 +25,14 @@ def stitched(df: DataFrame, spec: PipelineSpec) -> DataFrame:
         here, line = F.col("tag") == tag, maps.text(F.col("message"), r.msg_key)
         one = (line, maps.text(F.col("message"), r.identifier), regex.matches(line, r.head_regexp))
         text, ident, head = (F.when(here, c) if acc is None else acc.when(here, c) for acc, c in zip((text, ident, head), one, strict=True))
-    rows = df.where(F.col("tag").isin(*spec.concat)).select("tag", ident.alias("identifier"), "_seq", text.alias("text"), F.coalesce(head, F.lit(False)).alias("head"), F.col("_ingest_ts").cast("double").alias("ts"))
-    out = stream_concat(rows.where("identifier is not null and text is not null"), max_len=spec.concat_max_len, wait_sec=spec.concat_wait_sec)
+    d = df.select("*", text.alias("__t"), ident.alias("__id"), F.coalesce(head, F.lit(False)).alias("__h"))
+    ready = F.col("__t").isNotNull() & F.col("__id").isNotNull()
+    rows = d.where(ready).select("tag", F.col("__id").alias("identifier"), "_seq", F.col("__t").alias("text"), F.col("__h").alias("head"), F.col("_ingest_ts").cast("double").alias("ts"))
+    out = stream_concat(rows, max_len=spec.concat_max_len, wait_sec=spec.concat_wait_sec)
     of = lambda name: F.create_map(*[F.lit(x) for t, r in spec.concat.items() for x in (t, getattr(r, name))])[F.col("tag")]
     msg = F.map_from_entries(F.array(F.struct(of("msg_key").alias("key"), maps.variant(F.col("text")).alias("value")), F.struct(of("identifier").alias("key"), maps.variant(F.col("identifier")).alias("value"))))
-    return out.select("tag", msg.alias("message"), F.col("_seq").alias("id"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(1))).alias("ext_ids"), "_seq", F.lit(None).cast("timestamp").alias("_ingest_ts"))
+    out = out.select("tag", msg.alias("message"), F.col("_seq").alias("id"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(1))).alias("ext_ids"), "_seq", F.lit(None).cast("timestamp").alias("_ingest_ts"))
+    return out.unionByName(d.where(~ready).select(*out.columns))
 
 
 def start(source: DataFrame, spec: PipelineSpec, checkpoint: str, *, processing_time: str | None = None) -> StreamingQuery:

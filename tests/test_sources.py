@@ -4,6 +4,7 @@ import http.server
 import gzip
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,21 @@ def test_streaming_fan_out(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None and [json.loads(r.message)["msgid"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["h-sit-1"]
     assert json.loads(reg.to_json()) == {"two": 2}
+
+
+def test_streaming_concat_passes_other_records(spark, tmp_path):
+    doc = {"settings": {"acceptor": {"recvs": {"plugins": {"f": {"type": "fluentd", "concat": {"a": {"msg_key": "log", "identifier": "c", "head_regexp": "^h"}}}}}}, "producer": {"plugins": {"m": {"type": "parquet", "tags": ["a.{env}", "b.{env}"], "path": f"{tmp_path}/out"}}}}}
+    spec = config.load(doc, "sit", "h")
+    lines = [("a.sit", '{"log":"h1","c":"x"}'), ("a.sit", '{"log":" more","c":"x"}'), ("a.sit", '{"log":"h2","c":"x"}'), ("a.sit", '{"log":"no identifier"}'), ("a.sit", '{"c":"no text"}'), ("b.sit", '{"log":"h of another tag","c":"x"}')]
+    spark.createDataFrame([(t, j, i + 1) for i, (t, j) in enumerate(lines)], "tag string, j string, id long").coalesce(1).write.json(f"{tmp_path}/in")
+    src = spark.readStream.schema("tag string, j string, id long").json(f"{tmp_path}/in")
+    src = src.select("tag", maps.from_json(F.col("j")).alias("message"), "id", F.lit(None).cast("array<bigint>").alias("ext_ids"), F.col("id").alias("_seq"), F.current_timestamp().alias("_ingest_ts"))
+    q = run.start(src, spec, f"{tmp_path}/ck")
+    want = {"h-sit-1": ("h1 more", "x"), "h-sit-3": ("h2", "x"), "h-sit-4": ("no identifier", None), "h-sit-5": (None, "no text"), "h-sit-6": ("h of another tag", "x")}
+    got, until = {}, time.time() + 60
+    while got.keys() != want.keys() and q.isActive and time.time() < until:  # waits for the timeout of the last head
+        time.sleep(1)
+        if list(tmp_path.glob("out/*.parquet")):
+            got = {m["msgid"]: (m.get("log"), m.get("c")) for m in (json.loads(r.message) for r in spark.read.parquet(f"{tmp_path}/out").collect())}
+    q.stop()
+    assert q.exception() is None and got == want
