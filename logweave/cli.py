@@ -1,4 +1,9 @@
-"""Run a pipeline document on landed files: ``python -m logweave.cli --config x.yml --env sit --input DIR``."""
+"""Run a pipeline document on landed files: ``python -m logweave.cli --config x.yml --env sit --input DIR``.
+
+A record's id comes from its file, when that was written, and its position there.
+With a journal, files left in the folder are not sent again, and equal lines of
+other files or positions are.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import maps
+from .operators import journal
 from .plans import config, pipeline
 from .schema import configure
 from .sources import decoders, readers
@@ -26,9 +32,12 @@ def main(argv: list[str] | None = None) -> int:
     spec = config.load(a.config, a.env, a.host)
     for s in spec.sinks:
         s.dry = s.dry or a.dry
-    rows = readers.lines(spark, a.input).withColumn("message", maps.from_json(F.col("line"))).where("message is not null")
-    rows = rows.withColumn("tag", F.coalesce(maps.text(F.col("message"), "tag"), F.lit(""))).withColumn("_seq", F.monotonically_increasing_id())
-    rows = rows.select("tag", "message", decoders.with_id(rows, "line").alias("id"), F.lit(None).cast("array<bigint>").alias("ext_ids"), "_seq", F.current_timestamp().alias("_ingest_ts"))
+    first = 0
+    if spec.journal_path and journal.next_batch(spark, f"{spec.journal_path}/data"):  # the order goes on after what is logged
+        first = (journal.read_log(spark, f"{spec.journal_path}/data").agg(F.max("_seq")).first()[0] or 0) + 1
+    rows = readers.placed_lines(spark, a.input).withColumn("message", maps.from_json(F.col("line"))).where("message is not null")
+    rows = rows.withColumn("tag", F.coalesce(maps.text(F.col("message"), "tag"), F.lit(""))).withColumn("_seq", F.col("place") + first)
+    rows = rows.select("tag", "message", decoders.with_id(rows, "file", "modified", "position").alias("id"), F.lit(None).cast("array<bigint>").alias("ext_ids"), "_seq", F.current_timestamp().alias("_ingest_ts"))
     return 0 if pipeline.run_batch(rows, spec).committed else 1
 
 

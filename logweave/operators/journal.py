@@ -49,13 +49,23 @@ def drop_replayed(df: DataFrame, ttl: str | None = None) -> DataFrame:
     return df.dropDuplicates(["id"])
 
 
+def _glob(spark, path: str, pattern: str) -> tuple:
+    """The file system and what matches below ``path``."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")) or []]
+
+
+def next_batch(spark, path: str) -> int:
+    """The first batch id after all of the log; 0 where there is no log."""
+    return max([-1, *(int(p.getName().partition("=")[2]) for p in _glob(spark, path, "batch=*")[1])]) + 1
+
+
 def drop_tag(spark, path: str, tag: str) -> None:
     """Remove one tag's folders from the log."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/tag={tag}")) or []:
-        fs.delete(s.getPath(), True)
+    fs, found = _glob(spark, path, f"batch=*/tag={tag}")
+    for p in found:
+        fs.delete(p, True)
 
 
 # --------------------------------------------------------------------------- producer

@@ -74,19 +74,25 @@ def deliver(df: DataFrame, spec: PipelineSpec) -> Outcome:
     return Outcome(ok)
 
 
-def run_batch(df: DataFrame, spec: PipelineSpec, batch_id: int = 0) -> Outcome:
-    """Log ahead, transform, deliver, commit.  Uncommitted records can be replayed."""
+def run_batch(df: DataFrame, spec: PipelineSpec, batch_id: int | None = None) -> Outcome:
+    """Log ahead, transform, deliver, commit.  Uncommitted records can be replayed.
+
+    Without ``batch_id`` the batch comes after all of the log; a given one
+    replaces that batch.  An id that several batches hold is sent once.
+    """
     spark = df.sparkSession
     accepted = before_concat(spec)(df)
     if spec.journal_path:
-        journal.write_ahead(accepted, f"{spec.journal_path}/data", batch_id)
-        accepted = journal.read_log(spark, f"{spec.journal_path}/data").where(F.col("id").isNotNull())
+        log = f"{spec.journal_path}/data"
+        journal.write_ahead(accepted, log, journal.next_batch(spark, log) if batch_id is None else batch_id)
+        accepted = journal.read_log(spark, log).where(F.col("id").isNotNull())
         done = f"{spec.journal_path}/ids"
         try:
             accepted = journal.replay(accepted, spark.read.parquet(done))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+        accepted = journal.drop_replayed(accepted)
     out = accepted
     if spec.concat:
         out = concat_records(out, spec.concat, max_len=spec.concat_max_len, wait_sec=spec.concat_wait_sec)

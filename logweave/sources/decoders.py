@@ -21,7 +21,7 @@ ENVS = ("sit", "perf", "uat", "prod")
 
 def with_id(df: DataFrame, *parts: str) -> Column:
     """An id from the place of a record at its source: the same when a task runs again."""
-    return F.xxhash64(*parts) & F.lit((1 << 63) - 1)
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 # --------------------------------------------------------------------------- forward protocol

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window as W
 
 
 def lines(spark: SparkSession, path: str, *, stream: bool = False, column: str = "line") -> DataFrame:
@@ -13,6 +14,23 @@ def lines(spark: SparkSession, path: str, *, stream: bool = False, column: str =
     return r.format("text").load(path).select(F.col("value").alias(column))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, modified, position in the file, and
+    place, a number without gaps over all files in order of modification and path.
+
+    Positions do not depend on how files are split: the lines of each split are
+    counted, and only these counts are summed up in one task.
+    """
+    m = F.col("_metadata")
+    rows = spark.read.format("text").load(path).select(F.col("value").alias("line"), m["file_path"].alias("file"), m["file_modification_time"].alias("modified"), m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("__i"))
+    counts = rows.groupBy("file", "modified", "split").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    of_all = W.orderBy("modified", "file", "split").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0))
+    counts = counts.select("file", "modified", "split", "__first", before(of_all).alias("__all"), before(W.partitionBy("file", "modified").orderBy("split").rowsBetween(W.unboundedPreceding, -1)).alias("__own"))
+    at = F.col("__i") - F.col("__first")
+    return rows.join(F.broadcast(counts), ["file", "modified", "split"]).select("line", "file", "modified", (F.col("__own") + at).alias("position"), (F.col("__all") + at).alias("place"))
+
+
 def bodies(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
     """Whole files, as a collector lands frames or request bodies."""
     r = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if stream else spark.read

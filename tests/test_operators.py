@@ -1,5 +1,6 @@
 """Filters, parser, concat, journal, throttle and configuration."""
 
+import json
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logweave import cli
 from logweave.functions import maps
 from logweave.operators import filters, journal, parse
 from logweave.operators.concat import ConcatRule, concat_lines, concat_records
@@ -159,6 +161,29 @@ def test_failed_sink_is_replayed(spark, tmp_path):
     assert len(spec.sinks[0].options["rows"]) == 2  # sent to every sink again
 
 
+def test_cli_repeated_lines_and_failed_runs(spark, tmp_path):
+    """Lines equal to earlier ones are sent; what a failed run left is sent by the next."""
+    line, out = '{"tag":"a.sit","log":"heartbeat"}\n', tmp_path / "out"
+    (tmp_path / "in").mkdir()
+
+    def ran(ok, *files):
+        for f in files:
+            (tmp_path / "in" / f).write_text(line * 2)
+        sinks = {"m": {"type": "json", "tags": ["a.{env}"], "path": str(out)}} if ok else {"x": {"type": "stdout", "tags": ["a.{env}"], "is_commit": False}}
+        (tmp_path / "c.yml").write_text(json.dumps({"settings": {"journal": {"buf_dir_path": f"{tmp_path}/j"}, "producer": {"plugins": sinks}}}))
+        code = cli.main(["--config", f"{tmp_path}/c.yml", "--env", "sit", "--input", f"{tmp_path}/in"])
+        return code, [json.loads(x)["id"] for p in out.glob("*.json") for x in p.read_text().splitlines()]
+
+    assert len(ran(True, "1")[1]) == 2
+    assert len(ran(True)[1]) == 2  # the same file again
+    assert ran(False, "2")[0] == 1
+    (tmp_path / "in" / "2").unlink()
+    code, ids = ran(True, "3")
+    assert code == 0 and len(ids) == len(set(ids)) == 6
+    seqs = [r._seq for r in journal.read_log(spark, f"{tmp_path}/j/data").collect()]
+    assert len(seqs) == len(set(seqs))
+
+
 def test_unknown_types():
     for section, plugin in (("tag_filters", {"type": "no"}), ("post_filters", {"type": "no"}), ("producer", {"type": "no"}), ("acceptor_filters", {"type": "no"})):
         with pytest.raises(ValueError, match="unknown type"):
