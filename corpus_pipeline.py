@@ -33,10 +33,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by word-5-gram Jaccard of 0.8 or more, that with the smallest id."""
-    groups = ngramjoin.jaccard_components(docs.select("doc_id", "text"), 5, 80, 100)
-    gone = groups.where("doc_id != component_id").select("doc_id")
-    return join_on(docs.select(*COLUMNS), gone.distinct(), ["doc_id"], "left_anti").select(*COLUMNS)
+    """Of each group of documents linked by word-5-gram Jaccard of 0.8 or more, that with the smallest id.
+
+    A document is an id and a text.  Null ids come after all others, the text's
+    hash decides between equal ids, and of equal rows one stays.  Documents
+    without words are in no group, so all of them stay.
+    """
+    tmp = Scratch(spark, "dedup-documents")
+    docs = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    groups = ngramjoin.jaccard_components(docs.select(key.alias("doc_id"), "text"), 5, 80, 100)
+    rows = groups.select("doc_id.doc_id", "doc_id.h", "n_shingles", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone"))
+    keys = rows.groupBy("doc_id", "h").agg(F.max("gone").alias("gone"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    keys = tmp.keep(keys.where("gone or (n > 1 and n_shingles > 0)").select("doc_id", "h", "gone"), "keys")
+    out = join_on(docs, keys.select("doc_id", "h"), ["doc_id", "h"], "left_anti").select(*COLUMNS)
+    repeated = keys.where("not gone").select("doc_id", "h")
+    if repeated.limit(1).count():
+        one = join_on(docs, repeated, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

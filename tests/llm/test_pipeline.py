@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,3 +29,16 @@ def test_stages(spark):
     assert {r.doc_id for r in e} == {i for i, _ in pairs(d)}
     whole = corpus_pipeline.run(spark, SMALL).collect()
     assert sum(r.length for r in whole) == sum(r.length for r in e)
+
+
+def test_one_document_of_each_group(spark):
+    """Ids that repeat or are null: rows are told apart by their texts, and one of each group stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, d), (None, d), (8, d + " more"), (None, b + " more"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.dedup_documents(spark, docs, SMALL)
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == docs.columns
+    assert got == Counter([(3, a), (5, b), (7, c), (8, d + " more"), (9, ""), (9, ""), (None, None)])
+    e = spark.createDataFrame([(None, d), (None, d), (None, d + " more")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    assert corpus_pipeline.dedup_documents(spark, e, SMALL).count() == 1
