@@ -8,7 +8,10 @@ not overlap, and the work is linear in the text.
 
 Kinds: email, ip, card, phone (the base), then account (a cue word and an
 identifier, IBANs by their check digits), address (house number and street) and
-url.  Offsets are code points, ends exclusive.
+url.  An identifier has eight letters and digits at least, four of them digits,
+and goes on to its end, however long: groups joined by dashes, underscores or a
+full stop, or by a space where a digit follows.  Offsets are code points, ends
+exclusive.
 
 Defined results: a null or empty text has no spans; equal texts have equal
 spans; an empty table gives no rows.
@@ -39,7 +42,9 @@ _DIGITS = re.compile(r"[0-9]+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IDENT = re.compile(r"""[\s:=#"'.]{1,8}([A-Za-z0-9]+(?:[ -]?[A-Za-z0-9]+)*)""")
+_IBAN = re.compile(r"[A-Za-z0-9]+(?:[ -]?[A-Za-z0-9]+)*")
+_GAP = re.compile(r"""[\s:=#"'.]{1,8}(?=[A-Za-z0-9])""")
+_IDENT = re.compile(r"[A-Za-z0-9]+(?:(?:[_-]+|\.| (?=[0-9]))[A-Za-z0-9]+)*")
 _URL = re.compile(r"""[^\s<>"'`{}|\\^]+""")
 _HOUSE = re.compile(r"([0-9]{1,5})[ ,]+(?:[^\W\d_]+ ){0,3}$")
 _TAIL = re.compile(r"[^\W\d_]*(?: [^\W\d_]+)?,? ([0-9]{1,5})\b")
@@ -74,23 +79,31 @@ def automaton():
     return a
 
 
-def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
+def _account(text: str, start: int, end: int, dull: int) -> tuple[tuple[int, int] | None, int]:
+    """The span, and where the last identifier without enough digits ends.
+
+    An identifier that starts before ``dull`` is the rest of one that failed, so it fails too.
+    """
     if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
-        return None
-    m = _IDENT.match(text, end, end + 80)
-    if not m:
-        return None
-    words = m[1].replace("-", " ").split(" ")
+        return None, dull
+    gap = _GAP.match(text, end)
+    if not gap:
+        return None, dull
+    at = gap.end()
+    m = _IBAN.match(text, at, at + 72)
+    words = m[0].replace("-", " ").split(" ")
     for k in range(len(words), 0, -1):  # the longest reading that validates
         joined = "".join(words[:k])
         if not iban_ok(joined):
             continue
-        size = len(m[1]) if k == len(words) else sum(map(len, words[:k])) + k - 1
-        return m.start(1), m.start(1) + size
-    first = re.match(r"[A-Za-z0-9]+(?:[ -][0-9]+)*", m[1])[0]
-    if 8 <= sum(c.isalnum() for c in first) <= 64 and sum(c.isdigit() for c in first) >= 4:
-        return m.start(1), m.start(1) + len(first)
-    return None
+        size = len(m[0]) if k == len(words) else sum(map(len, words[:k])) + k - 1
+        return (at, at + size), dull
+    if at < dull:
+        return None, dull
+    m = _IDENT.match(text, at)
+    if sum(c.isalnum() for c in m[0]) >= 8 and sum(c.isdigit() for c in m[0]) >= 4:
+        return m.span(), dull
+    return None, m.end()
 
 
 def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -109,6 +122,7 @@ def find(text: str, auto) -> list[tuple[int, int, int]]:
     """(kind number, start, end), sorted."""
     out: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)
+    dull = 0
     for last, (what, size) in auto.iter(text):
         at = last + 1 - size
         if what == "digit":
@@ -142,8 +156,10 @@ def find(text: str, auto) -> list[tuple[int, int, int]]:
                 got = (at, m.start() + len(m[0].rstrip(".,;:!?)"))) if m else None
                 if got and got[1] <= last + 1:
                     got = None
+            elif what == "account":
+                got, dull = _account(text, at, last + 1, dull)
             else:
-                got = (_account if what == "account" else _address)(text, at, last + 1)
+                got = _address(text, at, last + 1)
             if got and got[0] >= done[what]:
                 done[what] = got[1]
                 out.append((KINDS.index(what), *got))
