@@ -102,6 +102,38 @@ def throttle(df: DataFrame, ts: str, order: str, per_sec: int, partition: list[s
     return df.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= per_sec).drop("__n")
 
 
+def throttle_burst(df: DataFrame, ts: str, order: str, per_sec: int, burst: int) -> DataFrame:
+    """A token bucket that gets ``per_sec`` tokens at the start of each second and holds
+    ``burst`` at most, full at first.  Records of a second pass in order until it is empty.
+
+    The bucket goes from second to second over their counts, one row each, in
+    one task; records are partitioned by second.  Records without a time have
+    one bucket of their own.
+    """
+    import pandas as pd
+
+    def run(frames):
+        left, last = float(burst), None
+        for pdf in frames:
+            allowed = []
+            for t, n in zip(pdf["__t"], pdf["__n"], strict=True):
+                if pd.isna(t):
+                    allowed.append(burst)
+                    continue
+                left = min(float(burst), left + (0 if last is None else (t - last) * per_sec))
+                last = t
+                allowed.append(int(left))
+                left -= min(left, n)
+            yield pd.DataFrame({"__t": pdf["__t"].astype("Int64"), "__allowed": allowed})
+
+    d = df.withColumn("__s", F.unix_timestamp(F.date_trunc("second", F.col(ts).cast("timestamp"))))
+    counts = d.groupBy(F.col("__s").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    allowed = counts.repartition(1).sortWithinPartitions("__t").mapInPandas(run, "__t long, __allowed long")
+    d = d.withColumn("__n", F.row_number().over(W.partitionBy("__s").orderBy(order)))
+    d = d.join(allowed, d["__s"].eqNullSafe(allowed["__t"])).where(F.col("__n") <= F.col("__allowed"))
+    return d.select(*df.columns)
+
+
 def token_bucket(df: DataFrame, ts: str, order: str, per_sec: int, burst: int, key: str) -> DataFrame:
     """Exact token bucket for each ``key``: ``burst`` tokens at most, ``per_sec`` refilled a second.
 

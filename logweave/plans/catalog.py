@@ -472,7 +472,7 @@ def whole_pipeline(spark, sf):
     from . import config, pipeline
 
     doc = {"settings": {
-        "acceptor_filters": {"plugins": {"default": {"remove_empty_tag": True, "remove_unknown_tag": True, "accept_tags": [f"{t}.{{env}}" for t in ("click", "error", "purchase", "signup", "login", "logout", "search", "scroll")]}}},
+        "acceptor_filters": {"is_throttle": True, "throttle_per_sec": 1000, "throttle_max": 1000, "plugins": {"default": {"remove_empty_tag": True, "remove_unknown_tag": True, "accept_tags": [f"{t}.{{env}}" for t in ("click", "error", "purchase", "signup", "login", "logout", "search", "scroll")]}}},
         "tag_filters": {"plugins": {"all": {"type": "parser", "tags": ["click.{env}", "error.{env}", "purchase.{env}"], "msg_key": "log", "pattern": PATTERN, "is_remove_orig_log": True, "parse_json_key": "args", "time_key": "time", "time_format": "2006-01-02 15:04:05.000", "flatten_depth": 1}}},
         "post_filters": {"plugins": {"default": {"max_len": 64}}},
     }}

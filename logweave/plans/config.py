@@ -55,6 +55,7 @@ class PipelineSpec:
     receivers: list[Receiver] = field(default_factory=list)
     acceptor: list[_filters.Filter] = field(default_factory=list)
     throttle_per_sec: int | None = None
+    throttle_max: int = 10_000
     concat: dict[str, ConcatRule] = field(default_factory=dict)
     concat_max_len: int = 300_000
     concat_wait_sec: float = 3.0
@@ -115,7 +116,9 @@ def load(doc: dict | str, env: str, host: str = "localhost") -> PipelineSpec:
     accept, last = s.get("acceptor_filters") or {}, None
     clean(accept)
     if accept.get("is_throttle"):
-        spec.throttle_per_sec = int(accept.get("throttle_per_sec", 1000))
+        per_sec, most = int(accept.get("throttle_per_sec", 0)), int(accept.get("throttle_max", 0))
+        spec.throttle_per_sec = per_sec if per_sec > 0 else 1000
+        spec.throttle_max = most if most > 0 else spec.throttle_max
     for name, p in _plugins(accept):
         kind = p.get("type", "default" if name == "default" else None)
         o = clean(p)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,14 @@ def wanted_tags(spec: PipelineSpec) -> set[str]:
 
 
 def before_concat(spec: PipelineSpec):
-    """Acceptor stage; cheap drops come first, before anything is stored or shuffled."""
+    """Acceptor stage: the throttle, which counts all records, then the filters."""
 
     def run(df: DataFrame) -> DataFrame:
-        df = filters.acceptor_pipeline(spec.acceptor)(df)
-        if spec.throttle_per_sec and not df.isStreaming:
-            df = journal.throttle(df, "_ingest_ts", "_seq", spec.throttle_per_sec)
-        return df
+        if spec.throttle_per_sec and df.isStreaming:
+            warnings.warn("is_throttle has no effect in a stream: all records pass", stacklevel=2)
+        elif spec.throttle_per_sec:
+            df = journal.throttle_burst(df, "_ingest_ts", "_seq", spec.throttle_per_sec, spec.throttle_max)
+        return filters.acceptor_pipeline(spec.acceptor)(df)
 
     return run
 

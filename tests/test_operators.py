@@ -12,7 +12,7 @@ from logweave import cli
 from logweave.functions import maps
 from logweave.operators import filters, journal, parse
 from logweave.operators.concat import ConcatRule, concat_lines, concat_records
-from logweave.plans import config, pipeline
+from logweave.plans import catalog, config, pipeline
 from logweave.schema import COLUMNS
 from logweave.sources.sinks import Sink
 from logweave.streaming.concat import Stitcher
@@ -131,6 +131,28 @@ def test_commit_barrier_and_throttle(spark):
     assert 4 < kept < 12
 
 
+def test_throttle_honours_burst(spark):
+    doc = {"settings": {"acceptor_filters": {"is_throttle": True}}}
+    spec = config.load(doc, "sit")
+    rows = spark.range(5000).select(F.col("id"), F.timestamp_seconds(F.lit(100)).alias("_ingest_ts"), F.col("id").alias("_seq"), F.lit("a").alias("tag"))
+    assert pipeline.before_concat(spec)(rows).count() == 5000  # the bucket holds 10,000
+    rng = random.Random(1)
+    seconds = sorted(rng.choices([*range(30), *range(60, 70)], k=400))
+    t = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "id long, s long").select("id", F.timestamp_seconds("s").alias("ts"), F.lit(1).alias("k"))
+    want = {r.id for r in journal.token_bucket(t, "ts", "id", 3, 25, "k").collect()}
+    assert {r.id for r in journal.throttle_burst(t, "ts", "id", 3, 25).collect()} == want and 25 < len(want) < 400
+    none = t.withColumn("ts", F.lit(None).cast("timestamp"))
+    assert journal.throttle_burst(none.unionByName(t), "ts", "id", 3, 25).count() == 25 + len(want)
+
+
+def test_whole_pipeline_throttle(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet").limit(3000).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp").cast(spark.read.parquet("/root/testdata/sf0.01/events.parquet").schema["ts"].dataType))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    kept = sorted((r.event_id, r.event_type) for r in spark.read.parquet(f"{tmp_path}/events.parquet").collect())[:1000]
+    want = sum(t != "view" for _, t in kept)
+    assert sum(r.n for r in catalog.QUERIES["whole_pipeline"](spark, str(tmp_path)).collect()) == want
+
+
 DOC = {"settings": {
     "acceptor_filters": {"fork": 4, "plugins": {"default": {"remove_empty_tag": True}, "s": {"type": "spring", "rules": [{"new_tag": "cp.{env}", "regexp": "cp"}]}}},
     "acceptor": {"recvs": {"plugins": {"f": {"type": "fluentd", "active_env": ["sit"], "concat": {"app": {"msg_key": "log", "identifier": "container_id", "head_regexp": "^h"}}}, "k": {"type": "kafka", "active_env": ["prod"]}}}},
