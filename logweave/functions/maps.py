@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MESSAGE = "map<string,variant>"
-FLAT_DEPTH = 5
 
 
 def variant(c: Column) -> Column:
@@ -56,13 +55,14 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def flatten(msg: Column, delimiter: str = "__", depth: int = FLAT_DEPTH) -> Column:
+def flatten(msg: Column, delimiter: str = "__", depth: int | None = None) -> Column:
     """Nested objects become entries ``a__b``; arrays stay; empty objects vanish.
 
-    Each of ``depth`` passes opens one level; deeper levels stay objects.
-    Messages without an object are left as they are.
+    Each of ``depth`` passes opens one level; deeper levels stay objects.  By
+    default a message has as many passes as one of its values has objects, so
+    none is left.  Messages without an object are left as they are.
     """
-    if depth < 1:
+    if depth is not None and depth < 1:
         return msg
 
     def opened(e: Column) -> Column:
@@ -72,8 +72,16 @@ def flatten(msg: Column, delimiter: str = "__", depth: int = FLAT_DEPTH) -> Colu
     def level(acc: Column, _: Column) -> Column:
         return F.flatten(F.transform(acc, lambda e: F.when(_is_object(e["value"]), opened(e)).otherwise(F.array(e))))
 
+    def level_if_any(acc: Column, i: Column) -> Column:
+        return F.when(F.exists(acc, lambda e: _is_object(e["value"])), level(acc, i)).otherwise(acc)
+
     entries = F.map_entries(msg)
-    flat = level(entries, F.lit(1)) if depth == 1 else F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), entries, level)
+    if depth is None:
+        objects = lambda v: F.coalesce(F.regexp_count(F.schema_of_variant(v), F.lit("OBJECT<")), F.lit(0))
+        most = F.aggregate(F.map_values(msg), F.lit(0), lambda acc, v: F.greatest(acc, objects(v)))
+        flat = F.aggregate(F.array_repeat(F.lit(1), most), entries, level_if_any)
+    else:
+        flat = level(entries, F.lit(1)) if depth == 1 else F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), entries, level)
     return F.when(F.exists(F.map_values(msg), _is_object), F.map_from_entries(flat)).otherwise(msg)
 
 

@@ -18,7 +18,7 @@ DEFAULT_NEW_LAYOUT = "2006-01-02T15:04:05.000000Z"
 def parser(
     tags: Sequence[str], msg_key: str = "", pattern: str = "", is_remove_orig_log: bool = False, parse_json_key: str = "", must_include: str = "",
     time_key: str = "", time_format: str = "", append_time_zone: str = "", new_time_key: str = "@timestamp", new_time_format: str = DEFAULT_NEW_LAYOUT,
-    reserved_time_key: bool = False, add: dict | None = None, flatten_depth: int = maps.FLAT_DEPTH, tz_sep: str | None = None,
+    reserved_time_key: bool = False, add: dict | None = None, flatten_depth: int | None = None, tz_sep: str | None = None,
 ) -> Filter:
     """Order of steps: groups, original removed, JSON merged, flattened, required
     key, time, add rules.  Records of other tags pass.
@@ -46,7 +46,7 @@ def parser(
             df = once(df, __in=F.when(on, maps.from_json(maps.text(msg, parse_json_key))))
             merged = F.map_concat(maps.without(msg, [parse_json_key]), maps.without(F.col("__in"), [parse_json_key]))
             df = once(df, message=F.when(F.col("__in").isNotNull(), merged).otherwise(msg)).drop("__in")
-        if flatten_depth:
+        if flatten_depth != 0:
             df = once(df, message=F.when(on, maps.flatten(msg, "__", flatten_depth)).otherwise(msg))
         if must_include:
             df = df.where(~on | F.map_contains_key("message", must_include))
