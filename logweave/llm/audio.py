@@ -185,5 +185,23 @@ def read_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep_p
     return df.mapInArrow(run, ", ".join([*kept, READ]))
 
 
+def read_stored(df: DataFrame) -> DataFrame:
+    """From stored media and pcm to media, payload (the data chunk) and the pcm's feature; other columns stay."""
+    K.prepare(df.sparkSession)
+    out = df.select(*[c for c in df.columns if c != "pcm"], "pcm")
+    at = out.columns.index("media")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 500):
+                s = b.slice(a, 500)
+                payload = [parse_wav(v.as_py())[3] for v in s.column(at)]
+                told = [feature(np.frombuffer(v.as_py(), "<i2")) for v in s.column(s.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(payload, pa.binary()), pa.array(told)], [*s.schema.names[:-1], "payload", "feature"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
+    return out.mapInArrow(run, ", ".join([*kept, "payload binary, feature string"]))
+
+
 def sha256(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()

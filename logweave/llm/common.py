@@ -72,9 +72,9 @@ class Scratch:
         self.path = f"{scratch_root(spark)}/logweave-{name}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.path)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: str | int) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

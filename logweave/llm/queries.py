@@ -71,8 +71,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = audio.store_audio(docs, "text").select("doc_id", "n_bytes", "media")
-    out = audio.read_audio(stored, keep_pcm=False)
+    media = audio.store_audio(docs, "text").select("doc_id", "n_bytes", "media")
+    media = audio.read_audio(media).select("doc_id", "n_bytes", "media", "pcm")
+    stored = Scratch(spark, "telephony").keep(media, "media", **{"compression": "zstd", "parquet.block.size": 16 << 20})
+    out = audio.read_stored(stored)
     tail = F.crc32(F.substring("payload", -32, 32))
     return out.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), sha256(F.col("payload")).alias("payload_sha256"), tail.alias("tail_crc32"),

@@ -301,3 +301,13 @@ def test_jaccard_on_edited_copies(spark, k, num):
     want = brute.jaccard(rows_, k, num, 100)
     assert rows(ngramjoin.jaccard_components(df, k, num, 100), "doc_id", "n_shingles", "component_id") == Counter(want)
     assert 40 < len({w[2] for w in want}) < len(want)  # the fixture has links and documents without any
+
+
+def test_op7_stores_pcm(spark, monkeypatch):
+    kept = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, **k: kept.setdefault(name, keep(self, df, name, **k)))
+    out = queries.op7_telephony(spark, SMALL)
+    stored = kept["media"].select("doc_id", "pcm", "media").collect()
+    told = {r.doc_id: (r.feature, r.media_sha256) for r in out.collect()}
+    assert len(stored) == len(told) and all(told[r.doc_id] == (audio.feature(np.frombuffer(r.pcm, "<i2")), audio.sha256(bytes(r.media))) for r in stored)
