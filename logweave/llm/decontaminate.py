@@ -116,20 +116,24 @@ def phrase_matches(index: DataFrame, ranked: DataFrame, tmp: Scratch, slop: int
     return found
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, ratio: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, ratio: int = 20, slop: int = 0) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted as strings), contaminated.
 
     ``docs`` has doc_id and text, ``bench`` item_id and text.  A word is hit if an
     occurrence of a window covers it; a document is contaminated if it has a hit
-    and ``ratio * n_hit >= n_words``.
+    and ``ratio * n_hit >= n_words``.  With ``slop`` an occurrence is a proximity
+    match (see ``phrase_matches``) and covers the window's place in the document.
     """
     tmp = Scratch(docs.sparkSession, "decontaminate")
     phrases = Phrases(bench, n, tmp)
     index = build_index(docs, phrases, tmp)
     ranked = rank_terms(index, phrases, tmp)
-    found = tmp.keep(phrase_matches(index, ranked, tmp), "matches")
+    found = tmp.keep(phrase_matches(index, ranked, tmp, slop), "matches")
     by_start = W.partitionBy(*KEY).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     cover = found.select(*KEY, "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    if slop:  # a place may begin before the document or end after it
+        lengths = index.where(F.col("t") == LENGTH_TERM).select(*KEY, F.col("pos").alias("n_words")).distinct()
+        cover = join_on(cover, lengths, KEY).select(*KEY, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "n_words").alias("end")).distinct()
     cover = cover.withColumn("till", F.coalesce(F.max("end").over(by_start), F.lit(0)))
     fresh = F.greatest(F.col("end") - F.greatest("start", "till"), F.lit(0))
     hits = cover.groupBy(*KEY).agg(F.sum(fresh).alias("n_hit"))

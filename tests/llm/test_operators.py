@@ -303,6 +303,17 @@ def test_jaccard_on_edited_copies(spark, k, num):
     assert 40 < len({w[2] for w in want}) < len(want)  # the fixture has links and documents without any
 
 
+def test_decontaminate_slop(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    texts = [(1, "x alpha beta gamma delta y"), (2, "x alpha beta new gamma delta"), (3, "beta gamma delta alpha"), (4, "alpha far far far far beta gamma delta")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = lambda **k: {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, bench, n=4, **k).where("contaminated").collect()}
+    assert found() == {1: 4}
+    near = found(slop=1)
+    assert near.keys() == {1, 2} and all(n <= len(dict(texts)[i].split()) for i, n in near.items())
+    assert found(slop=4).keys() == {1, 2, 3, 4}
+
+
 def test_op7_stores_pcm(spark, monkeypatch):
     kept = {}
     keep = Scratch.keep
