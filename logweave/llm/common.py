@@ -10,13 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -27,8 +28,15 @@ BROADCAST_ROWS = 200_000
 # --------------------------------------------------------------------------- session
 
 
+#: Bytes of input that a Python worker gets at once; a longer row comes alone.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is run from a checkout."""
+    """Let Python workers import this package when it is run from a checkout, and bound their batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") != str(BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
@@ -40,10 +48,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where none is configured."""
+    """The folder all machines share; a temporary one only where a local session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="logweave-")
@@ -95,17 +105,44 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``select`` and ``col``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def but(df: DataFrame, *names: str) -> list[str]:
+    """Quoted names of the columns but these."""
+    return [quoted(c) for c in df.columns if c not in names]
+
+
+def schema(df: DataFrame, more: str = "", drop: tuple[str, ...] = ()) -> StructType:
+    """Fields of ``df`` without ``drop``, then those of the DDL text ``more``."""
+    return StructType([f for f in df.schema.fields if f.name not in drop] + (StructType.fromDDL(more).fields if more else []))
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; the left side's keys stay."""
     names = {k: f"__r_{k}" for k in keys}
-    right = right.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in right.columns if c not in names])
+    right = right.select(*[F.col(quoted(k)).alias(names[k]) for k in keys], *but(right, *keys))
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(right[names[k]])
+        c = F.col(quoted(k)).eqNullSafe(F.col(names[k]))
         cond = c if cond is None else cond & c
     return left.join(right, cond, how).drop(*names.values())
 
 
+def map_arrow(df: DataFrame, run: Callable, more: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInArrow`` whose result has the columns of ``df`` without ``drop``, then ``more``.
+
+    Within, the columns of ``df`` have plain names, as Spark takes no backtick there.
+    """
+    plain = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    gone = tuple(p for p, c in zip(plain.columns, df.columns, strict=True) if c in drop)
+    out = plain.mapInArrow(run, schema(plain, more, gone))
+    kept = [c for c in df.columns if c not in drop]
+    return out.toDF(*kept, *out.columns[len(kept) :])
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII strings take the JVM's fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -124,23 +161,39 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o
 
 
-def chunks(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(col: pa.Array, limit: int = 1 << 20, keep: np.ndarray | None = None, step: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of pieces of about ``limit`` bytes.
 
-    Rows are never cut: a text longer than the limit is a piece of its own.
+    A row longer than that comes as several pieces: cut before a byte outside
+    ``keep``, so no run of kept bytes is cut, or else at a multiple of ``step``.
     """
     if not len(col):
         return
     data, offs = buffers(col)
+    size = np.diff(offs)
     a = 0
     while a < len(col):
-        b = int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1
-        b = min(max(b, a + 1), len(col))
-        yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-        a = b
-
-
-def _splitmix(n: int, seed: int) -> np.ndarray:
+        if size[a] <= limit:
+            b = int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1
+            b = min(max(b, a + 1), len(col))
+            yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            a = b
+            continue
+        lo, end = int(offs[a]), int(offs[a + 1])
+        while lo < end:
+            hi = min(lo + max(limit // step, 1) * step, end)
+            while keep is not None and hi < end:
+                out = np.flatnonzero(~keep[data[hi : min(hi + 65536, end)]])
+                if len(out):
+                    hi += int(out[0])
+                    break
+                hi = min(hi + 65536, end)
+            yield a, a + 1, data[lo:hi], np.array([0, hi - lo])
+            lo = hi
+        a += 1
+
+
+def splitmix(n: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed)
         return mix(x)
@@ -157,23 +210,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_T = _splitmix(256, 0x1F83D9ABFB41BD6B)
-_pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INV)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            with np.errstate(over="ignore"):
-                _pow[k] = np.multiply.accumulate(full)
-    return _pow[0], _pow[1]
-
-
 def spans(keep: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes whose class in ``keep`` is true.
 
@@ -191,16 +227,60 @@ def spans(keep: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
+#: Runs of up to this many 8-byte lanes are hashed together; longer ones one by one.
+LANES = 8
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_SEED = np.uint64(0x1F83D9ABFB41BD6B)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number (places need not be aligned)."""
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    padded[len(data) :] = 0
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs by prefix sums of a polynomial."""
-    p, inv = _powers(len(data) + 1)
+    """64-bit hashes of byte runs.
+
+    Each lane of eight bytes is mixed into the state by a bijection, so runs of
+    one length up to eight bytes never collide, and others do by chance only.
+    """
+    lanes, size = _lanes(data), ends - starts
     with np.errstate(over="ignore"):
-        v = _T[data]
-        v *= p[: len(data)]
-        c = np.empty(len(data) + 1, np.uint64)
-        c[0] = 0
-        np.cumsum(v, out=c[1:])
-        return mix((c[ends] - c[starts]) * inv[starts])
+        h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _SEED)
+    h ^= lanes[starts] & _MASK[np.minimum(size, 8)]
+    mix(h)
+    at = np.flatnonzero(size > 8)
+    for j in range(1, LANES):
+        if not len(at):
+            break
+        rest = size[at] - 8 * j
+        h[at] = mix(h[at] ^ (lanes[starts[at] + 8 * j] & _MASK[np.minimum(rest, 8)]))
+        at = at[rest > 8]
+    if len(at):
+        import xxhash
+
+        h[at] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes(), int(_SEED)) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    return h
+
+
+def same_runs(x: np.ndarray, x_starts: np.ndarray, y: np.ndarray, y_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether runs of ``x`` and ``y`` (of equal sizes) have the same bytes."""
+    a, b = _lanes(x), _lanes(y)
+    ok = (a[x_starts] ^ b[y_starts]) & _MASK[np.minimum(size, 8)] == 0
+    at = np.flatnonzero(ok & (size > 8))
+    for j in range(1, LANES):
+        if not len(at):
+            break
+        rest = size[at] - 8 * j
+        same = (a[x_starts[at] + 8 * j] ^ b[y_starts[at] + 8 * j]) & _MASK[np.minimum(rest, 8)] == 0
+        ok[at[~same]] = False
+        at = at[same & (rest > 8)]
+    for i in at.tolist():
+        ok[i] = np.array_equal(x[x_starts[i] : x_starts[i] + size[i]], y[y_starts[i] : y_starts[i] + size[i]])
+    return ok
 
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -161,7 +161,7 @@ def train_langid(docs: DataFrame, per_lang: int = 300, windows_each: int = 8, wi
     at = F.sequence(F.lit(0), F.lit(windows_each - 1))
     cut = F.transform(at, lambda i: F.substring(F.col("text").cast("binary"), (i * step).cast("int") + 1, F.lit(window)))
     rows = picked.select("doc_id", "lang", F.filter(cut, lambda b: F.octet_length(b) > 0).alias("w")).collect()  # bounded by per_lang * windows_each
-    rows = sorted(rows, key=lambda r: (r.lang, str(r.doc_id)))
+    rows = sorted(rows, key=lambda r: (r.lang, str(r.doc_id), [bytes(w) for w in r.w]))  # repeated ids have one order too
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None
@@ -176,43 +176,43 @@ def train_langid(docs: DataFrame, per_lang: int = 300, windows_each: int = 8, wi
     return train(K.fold(x), y, langs)
 
 
-def has_letter(text: bytes) -> bool:
-    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
-
-
 def identify(docs: DataFrame, net: Net | None) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (``text`` alone is looked at)."""
+    """All columns of ``docs`` with lang_pred and score, which replace columns of these names (``text`` alone is looked at).
+
+    A long text comes in pieces of whole windows.
+    """
     K.prepare(docs.sparkSession)
-    out = docs.withColumn("__b", F.col("text").cast("binary"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    docs = docs.select(*K.but(docs, "lang_pred", "score"))
+    at = docs.columns.index("text")
     letters = np.zeros(256, bool)
     letters[65:91] = letters[97:123] = True
+    step = net.window if net else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast = Fast(net) if net else None
         for b in batches:
-            pred, score = [], []
-            for lo, hi, data, offs in K.chunks(b.column(b.num_columns - 1), 1 << 19):
+            col = b.column(at)
+            size = np.diff(K.buffers(col)[1])
+            total = np.zeros((b.num_rows, len(net.langs) if net else 1))
+            ok = np.zeros(b.num_rows, bool)
+            for lo, hi, data, offs in K.pieces(col, 1 << 19, step=step):
                 n = hi - lo
                 seen = np.zeros(len(data) + 1, np.int64)
                 np.cumsum(letters[data], out=seen[1:])
-                ok = seen[offs[1:]] > seen[offs[:-1]]
-                for i in np.flatnonzero(~ok & (np.diff(offs) > 0)):
-                    ok[i] = has_letter(data[offs[i] : offs[i + 1]].tobytes())
+                ok[lo:hi] |= seen[offs[1:]] > seen[offs[:-1]]
                 if fast is None:
-                    pred += ["und"] * n
-                    score += [0.0] * n
                     continue
                 x, row, have = windows(data, offs, net.window)
-                total = np.zeros((n, len(net.langs)))
                 for a in range(0, len(x), 256):
                     p = fast.probabilities(x[a : a + 256]) * have[a : a + 256, None]
                     for c in range(p.shape[1]):
-                        total[:, c] += np.bincount(row[a : a + 256], p[:, c], n)
-                total /= np.maximum(np.diff(offs), 1)[:, None]
-                best = total.argmax(axis=1)
-                pred += [net.langs[k] if o else "und" for k, o in zip(best.tolist(), ok.tolist(), strict=True)]
-                score += np.where(ok, np.clip(total.max(axis=1), 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
-
-    return out.mapInArrow(run, ", ".join([*kept, "lang_pred string", "score double"]))
+                        total[lo:hi, c] += np.bincount(row[a : a + 256], p[:, c], n)
+            for i in np.flatnonzero(~ok & (size > 0)).tolist():
+                ok[i] = any(c.isalpha() for c in col[i].as_py())
+            total /= np.maximum(size, 1)[:, None]
+            ok &= fast is not None
+            pred = [net.langs[k] if o else "und" for k, o in zip(total.argmax(axis=1).tolist(), ok.tolist(), strict=True)]
+            score = np.where(ok, np.clip(total.max(axis=1, initial=0), 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+
+    return K.map_arrow(docs, run, "lang_pred string, score double")

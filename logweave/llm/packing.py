@@ -25,11 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as K
 
-SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 _SPACE, _LETTER, _DIGIT, _PUNCT, _OTHER = range(5)
 _CLASS = np.full(256, _PUNCT, np.uint8)
@@ -37,10 +36,9 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
 _CLASS[48:58] = _DIGIT
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[128:] = _OTHER
+_NOT_SPACE = _CLASS != _SPACE
 #: Control characters and the apostrophe (contractions) are never split from what is beside them.
 _CLASS[[*range(9), *range(14, 32), 39, 127]] = _OTHER
-_JOINED = np.full(256, False)
-_JOINED[[*range(9), *range(14, 32), 39, 127]] = True
 
 
 def parts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,9 +73,13 @@ def parts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Encoder:
-    """Token ids of batches of texts, with a bounded memory of parts seen."""
+    """Token ids of batches of texts, with a bounded memory of parts seen.
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    Parts are looked up by hash, and their bytes are compared with the remembered
+    ones, so different parts of one hash get their own ids.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -86,6 +88,9 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16)
+        self.at = np.zeros(0, np.int64)  # where each part's bytes begin, and how many
+        self.size = np.zeros(0, np.int64)
+        self.raw = np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,24 +111,38 @@ class Encoder:
         where = np.searchsorted(self.keys, known)
         where[where == len(self.keys)] = 0
         new = self.keys[where] != known if len(self.keys) else np.ones(len(known), bool)
+        fresh, old = at[new], where[~new]
+        size = ends - starts
+        rep = at[back]
+        same = (size == size[rep]).all() and K.same_runs(folded, starts, folded, starts[rep], size).all()
+        kept = at[~new]
+        if not same or (len(old) and not ((self.size[old] == size[kept]).all() and K.same_runs(folded, starts[kept], self.raw, self.at[old], size[kept]).all())):
+            return self._apart(folded.tobytes(), starts, ends, first)
         raw = folded.tobytes()
-        fresh = at[new]
         nf, ni = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-        size = np.empty(len(known), np.int64)
+        count = np.empty(len(known), np.int64)
         src = np.empty(len(known), np.int64)
-        old = where[~new]
-        size[~new], src[~new] = self.first[old + 1] - self.first[old], self.first[old]
-        size[new], src[new] = np.diff(nf), nf[:-1] + len(self.ids)
-        pool = np.concatenate([self.ids.astype(np.uint32), ni])
-        n, s = size[back], src[back]
+        count[~new], src[~new] = self.first[old + 1] - self.first[old], self.first[old]
+        count[new], src[new] = np.diff(nf), nf[:-1] + len(self.ids)
+        pool = np.concatenate([self.ids, ni])
+        n, s = count[back], src[back]
         end = np.cumsum(n)
-        out = pool[np.repeat(s - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        out = pool[np.repeat(s - (end - n), n) + np.arange(end[-1] if len(end) else 0)].astype(np.uint32)
         begin = np.concatenate([[0], end])[first]
         if len(self.keys) + len(fresh) <= self.most and len(fresh):
-            self._learn(known[new], np.diff(nf), ni)
+            self._learn(known[new], np.diff(nf), ni, folded, starts[fresh], size[fresh])
         return out, begin
 
-    def _learn(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _apart(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids where a hash stands for several parts: each part by its bytes."""
+        texts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        nf, ni = self._encode([t.decode("utf-8", "replace") for t in number])
+        each = [ni[nf[number[t]] : nf[number[t] + 1]] for t in texts]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])[first]
+        return np.concatenate([np.zeros(0, np.uint32), *each]).astype(np.uint32), begin
+
+    def _learn(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         all_keys = np.concatenate([self.keys, keys])
         order = np.argsort(all_keys, kind="stable")
         n = np.concatenate([np.diff(self.first), sizes])[order]
@@ -132,6 +151,11 @@ class Encoder:
         self.first = np.concatenate([[0], np.cumsum(n)])
         self.ids = pool[np.repeat(begin - self.first[:-1], n) + np.arange(self.first[-1])]
         self.keys = all_keys[order]
+        end = np.cumsum(lengths)
+        taken = data[np.repeat(starts - (end - lengths), lengths) + np.arange(end[-1])]
+        self.at = np.concatenate([self.at, end - lengths + len(self.raw)])[order]
+        self.size = np.concatenate([self.size, lengths])[order]
+        self.raw = np.concatenate([self.raw, taken])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -145,17 +169,36 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each row with the end id."""
+    """Ids of each row with the end id.
+
+    A long text comes in pieces cut at white space, where the tokenizer splits too.
+    A piece with a special token's string is encoded whole.
+    """
     enc = encoder(path)
-    for a, b, data, offs in K.chunks(col):
+    held: list[np.ndarray] = []
+    at = 0
+    for a, b, data, offs in K.pieces(col, 2 << 20, _NOT_SPACE):
         raw = data.tobytes()
         odd = any(s in raw for s in enc.special)
         ids, begin = enc.rows(data, offs)
+        if held and a != at:
+            yield _ended(held, end_id)
+            held = []
         for i in range(b - a):
             own = ids[begin[i] : begin[i + 1]]
             if odd and any(s in raw[offs[i] : offs[i + 1]] for s in enc.special):
                 own = enc.whole(raw[offs[i] : offs[i + 1]])
-            yield np.append(own, np.uint32(end_id)).astype("<u4")
+            if b - a == 1:  # more of this row may follow
+                at = a
+                held.append(own)
+            else:
+                yield _ended([own], end_id)
+    if held:
+        yield _ended(held, end_id)
+
+
+def _ended(ids: list[np.ndarray], end_id: int) -> np.ndarray:
+    return np.concatenate([*ids, np.array([end_id], np.uint32)]).astype("<u4")
 
 
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -246,9 +289,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     most ``piece`` ids.  ``docs`` has doc_id and text.
     """
     K.prepare(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = SCHEMA.format(id=kind)
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema = K.schema(docs.select("doc_id"), SCHEMA)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -271,4 +313,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             packer.flush(True)
             yield taken()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

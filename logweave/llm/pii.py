@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as K
 
@@ -46,8 +45,7 @@ _IBAN = re.compile(r"[A-Za-z0-9]+(?:[ -]?[A-Za-z0-9]+)*")
 _GAP = re.compile(r"""[\s:=#"'.]{1,8}(?=[A-Za-z0-9])""")
 _IDENT = re.compile(r"[A-Za-z0-9]+(?:(?:[_-]+|\.| (?=[0-9]))[A-Za-z0-9]+)*")
 _URL = re.compile(r"""[^\s<>"'`{}|\\^]+""")
-_HOUSE = re.compile(r"([0-9]{1,5})[ ,]+(?:[^\W\d_]+ ){0,3}$")
-_TAIL = re.compile(r"[^\W\d_]*(?: [^\W\d_]+)?,? ([0-9]{1,5})\b")
+_TAIL = re.compile(r"(?: [^\W\d_]+)?,? ([0-9]{1,5})(?![\w])")
 
 
 def luhn(digits: str) -> bool:
@@ -106,15 +104,38 @@ def _account(text: str, start: int, end: int, dull: int) -> tuple[tuple[int, int
     return None, m.end()
 
 
+def _house(text: str, at: int) -> int | None:
+    """Where the number of one to five digits begins that stands before ``at`` and up to three words."""
+    for _ in range(4):
+        gap = at
+        while gap and text[gap - 1] in " ,":
+            gap -= 1
+        low = gap
+        while low and gap - low < 6 and text[low - 1] in "0123456789":
+            low -= 1
+        if low < gap < at:
+            return low if gap - low <= 5 and not (low and (text[low - 1].isalnum() or text[low - 1] == "_")) else None
+        if text[gap:at] != " " * bool(at - gap):  # words are parted by one blank
+            return None
+        low = gap
+        while low and text[low - 1].isalpha():
+            low -= 1
+        if low == gap:
+            return None
+        at = low
+    return None
+
+
 def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
-    low = max(0, start - 60)
-    if m := _HOUSE.search(text[low:start]):  # number before the name
-        if not (low + m.start() and text[low + m.start() - 1].isdigit()):
-            return low + m.start(), end
-    if m := _TAIL.match(text, end, end + 60):  # name before the number
-        while start and text[start - 1].isalpha():
-            start -= 1
-        return start, m.end(1)
+    if end < len(text) and text[end].isalpha():  # a cue ends its word, so each word is looked at once
+        return None
+    name = start
+    while name and text[name - 1].isalpha():
+        name -= 1
+    if name == start and (low := _house(text, name)) is not None:  # number before the name
+        return low, end
+    if m := _TAIL.match(text, end):  # name before the number
+        return name, m.end(1)
     return None
 
 
@@ -171,10 +192,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but the text, with found: array<struct<kind, start, end, value>>."""
+    """All columns of ``docs`` but the text, with found: array<struct<kind, start, end, value>>.
+
+    ``found`` replaces a column of that name.
+    """
     K.prepare(docs.sparkSession)
-    out = docs.select(*[c for c in docs.columns if c != "text"], F.coalesce("text", F.lit("")).alias("text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
+    docs = docs.select(*K.but(docs, "text", "found"), "text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +209,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 found.append([{"kind": KINDS[k], "start": a, "end": e, "value": t[a:e]} for k, a, e in find(t, auto)] if t else [])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], [*b.schema.names[:-1], "found"])
 
-    return out.mapInArrow(run, ", ".join([*kept, "found array<struct<kind:string,start:long,end:long,value:string>>"]))
+    return K.map_arrow(docs, run, "found array<struct<kind:string,start:long,end:long,value:string>>", ("text",))

@@ -11,8 +11,8 @@ holds for toxic rows with at least the median count of features that toxic
 training rows have far more often than others.
 
 Training uses at most ``max_rows`` labelled rows of each class of ``toxic``
-(those with the smallest hash of doc_id); prediction covers whole texts of all
-rows.  Defined results: a null or empty text has no features and gets the base
+(those with the smallest hash of doc_id) and of each at most ``max_features``
+features; prediction covers whole texts of all rows, long ones in pieces.  Defined results: a null or empty text has no features and gets the base
 rates; labels that are null are ignored, repeated ones count as toxic if any row
 says so; without labels of both kinds nothing is toxic; repeated rows each get
 a row.
@@ -132,58 +132,73 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, prefix: int, n_feature
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, low_quality, toxic, text of at most ``max_rows`` rows of each class."""
+    """doc_id, low_quality, toxic, text of at most ``max_rows`` labels of each class.
+
+    Of rows with one doc_id, that with the smallest hash of its text is taken.
+    """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = one.where("toxic = 1").orderBy(*order).limit(max_rows).unionByName(one.where("toxic = 0").orderBy(*order).limit(max_rows))
     texts = docs.where("text is not null").select("doc_id", "text")  # at most 2 * max_rows ids are sent
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic", F.col("text").cast("binary").alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic", "text")
+
+
+def _sketch(hashes: np.ndarray, most: int) -> np.ndarray:
+    """The features with the smallest hashes: all of a row's, or a share that is the same for all rows' features."""
+    u = np.unique(hashes)
+    return u[np.argpartition(u, most)[:most]] if len(u) > most else u
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix: int = 5) -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix: int = 5, max_features: int = 4000) -> Chain:
+    """Fit on at most ``max_rows`` labelled rows of each class and ``max_features``
+    distinct features of each row (those with the smallest hashes), so what the
+    driver gets has a bound: 2 * max_rows * max_features * 8 bytes.
+    """
     K.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in K.chunks(b.column(3)):
+            found: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
+            for lo, hi, data, offs in K.pieces(b.column(3), keep=_WORD):
                 rows, hashes = features(data, offs, prefix)
-                out = [np.unique(hashes[rows == i]).tobytes() for i in range(hi - lo)] if hi - lo < 8 else _split(rows, hashes, hi - lo)
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], ["doc_id", "low_quality", "toxic", "features"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    got = sample_labelled(docs, labels, max_rows).mapInArrow(run, f"doc_id {kind}, low_quality int, toxic int, features binary")
-    found = sorted(got.collect(), key=lambda r: (str(r.doc_id), bytes(r.features)))  # bounded by max_rows
+                for i, own in enumerate(_split(rows, hashes, hi - lo)):
+                    found[lo + i].append(own)
+            out = [_sketch(np.concatenate([np.zeros(0, np.uint64), *x]), max_features).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "low_quality", "toxic", "features"])
+
+    rows = sample_labelled(docs, labels, max_rows)
+    got = rows.mapInArrow(run, K.schema(rows, "features binary", drop=("text",)))
+    got = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "features", "low_quality", "toxic")).alias("r")).select("doc_id", "r.*")
+    found = sorted(got.select("doc_id", "features", "low_quality", "toxic").collect(), key=lambda r: (str(r.doc_id), bytes(r.features)))  # bounded by max_rows and max_features
     y = np.array([[r.low_quality, r.toxic] for r in found], np.int8).reshape(-1, 2)
-    return fit_chain([np.frombuffer(r.features, np.uint64) for r in found], y, prefix)
+    return fit_chain([np.unique(np.frombuffer(r.features, np.uint64)) for r in found], y, prefix)
 
 
-def _split(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
+def _split(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
     order = np.argsort(rows, kind="stable")
     cut = np.searchsorted(rows[order], np.arange(n + 1))
-    return [np.unique(hashes[order[cut[i] : cut[i + 1]]]).tobytes() for i in range(n)]
+    return [np.unique(hashes[order[cut[i] : cut[i + 1]]]) for i in range(n)]
 
 
 def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
-    """All columns of ``docs`` and a probability for each category."""
+    """All columns of ``docs`` and a probability p_* for each category (which replace columns of these names)."""
     K.prepare(docs.sparkSession)
-    out = docs.withColumn("__b", F.col("text").cast("binary"))
+    names = [f"p_{c}" for c in CATEGORIES]
+    docs = docs.select(*K.but(docs, *names))
+    at, m = docs.columns.index("text"), len(chain.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.zeros((0, 3))]
-            for lo, hi, data, offs in K.chunks(b.column(b.num_columns - 1)):
+            pairs = [np.zeros(0, np.int64)]
+            for lo, _, data, offs in K.pieces(b.column(at), keep=_WORD):
                 rows, hashes = features(data, offs, chain.prefix)
-                if len(chain.keys):
+                if m:
                     f = np.searchsorted(chain.keys, hashes)
-                    f[f == len(chain.keys)] = 0
+                    f[f == m] = 0
                     hit = chain.keys[f] == hashes
-                    pair = np.unique(rows[hit].astype(np.int64) * len(chain.keys) + f[hit])
-                    parts.append(chain.margins(pair // len(chain.keys), pair % len(chain.keys), hi - lo))
-                else:
-                    parts.append(chain.margins(np.zeros(0, np.int64), np.zeros(0, np.int64), hi - lo))
-            p = 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(np.round(p[:, c], 9)) for c in range(3)]], [*b.schema.names[:-1], *[f"p_{c}" for c in CATEGORIES]])
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return out.mapInArrow(run, ", ".join([*kept, *[f"p_{c} double" for c in CATEGORIES]]))
+                    pairs.append(np.unique((rows[hit] + lo).astype(np.int64) * m + f[hit]))
+            pair = np.unique(np.concatenate(pairs))
+            p = 1 / (1 + np.exp(-np.clip(chain.margins(pair // max(m, 1), pair % max(m, 1), b.num_rows), -30, 30)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.round(p[:, c], 9)) for c in range(len(names))]], [*b.schema.names, *names])
+
+    return K.map_arrow(docs, run, ", ".join(f"{n} double" for n in names))

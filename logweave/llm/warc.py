@@ -96,30 +96,47 @@ def parse_record(raw: bytes) -> dict:
 
 
 def train(samples: list[bytes], size: int):
-    """A dictionary, or None where there is too little to learn from."""
+    """A dictionary of at most ``size`` bytes from these records.
+
+    Where there is too little for training, the dictionary is the samples' own
+    bytes, the last ones first in use, as Zstandard allows for any content.
+    """
     import zstandard as Z
 
-    size = min(size, sum(map(len, samples)) // 16)
-    if len(samples) < 16 or size < 1024:
-        return None
-    try:
-        return Z.train_dictionary(size, samples, level=3, steps=4, d=8, k=256)
-    except Z.ZstdError:  # samples without common parts
-        return None
+    fit = min(size, sum(map(len, samples)) // 16)
+    if len(samples) >= 16 and fit >= 1024:
+        try:
+            return Z.train_dictionary(fit, samples, level=3, steps=4, d=8, k=256)
+        except Z.ZstdError:  # samples without common parts
+            pass
+    return Z.ZstdCompressionDict(b"".join(samples)[-size:], dict_type=Z.DICT_TYPE_RAWCONTENT)
+
+
+def sample(records: list[bytes], most: int, size: int) -> list[bytes]:
+    """Parts of ``size`` bytes, about ``most`` of them, at equal steps through all bytes of the records."""
+    total = sum(map(len, records))
+    step = max(size, total // most)
+    out, at, begin = [], 0, 0
+    for r in records:
+        while at < begin + len(r):
+            out.append(r[at - begin : at - begin + size])
+            at += step
+        begin += len(r)
+    return out
+
 
+def write_archive(records: list[bytes], level: int = 3, dict_size: int = 16 << 10, most: int = 256, part: int = 4096) -> bytes:
+    """A dictionary frame, then a frame per record.
 
-def write_archive(records: list[bytes], level: int = 3, dict_size: int = 16 << 10) -> bytes:
+    The dictionary is trained on about ``most`` parts of ``part`` bytes, taken at
+    equal steps from all records and from all of each.
+    """
     import zstandard as Z
 
-    step = max(1, len(records) // 128)
-    known = train([r[:8192] for r in records[::step]], dict_size)
-    out = []
-    if known is not None:
-        body = Z.ZstdCompressor(level=level).compress(known.as_bytes())
-        out.append(struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body)
+    known = train(sample(records, most, part), dict_size)
+    body = Z.ZstdCompressor(level=level).compress(known.as_bytes())
     c = Z.ZstdCompressor(level=level, dict_data=known, write_checksum=True, write_content_size=True)
-    out += [c.compress(r) for r in records]
-    return b"".join(out)
+    return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(body)), body, *[c.compress(r) for r in records]])
 
 
 def frame_end(buf: memoryview, at: int) -> int:
