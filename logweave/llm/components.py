@@ -32,15 +32,13 @@ def _settled(e: DataFrame) -> bool:
     return seen.agg(F.max(F.col("out") + F.col("into") * (F.col("out") > 0).cast("int"))).first()[0] in (None, 0, 1)
 
 
-def components(edges: DataFrame, tmp: Scratch, name: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a, b); label is the least node reachable."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     e = tmp.keep(e, f"{name}0")
     k = 0
     while not _settled(e):
         k += 1
-        if k == most:
-            raise RuntimeError("components did not settle")
         e = tmp.keep(_stars(_stars(e, True), False), f"{name}{k}")
         tmp.drop(f"{name}{k - 1}")
     heads = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

@@ -1,8 +1,8 @@
 """Exact Jaccard self-join of shingle sets with set-relation skipping.
 
 Two sets link when their overlap is at least ``num / den`` of their union.  The
-result is exact; only 64-bit hashes of shingles and 128-bit hashes of sets stand
-for their contents.
+result is exact but for chance collisions: 64-bit hashes stand for shingles and 128-bit
+ones for sets.  Words of one length up to eight bytes never share a hash.
 
 1. Equal texts collapse: a set's signature is a node, documents are its members.
 2. Shingles are ordered from rare to common.  Their counts are gathered in
@@ -22,9 +22,19 @@ for their contents.
    component, except for sets outside it.
 5. Index-level skipping: in lists that still hold several components, blocks of
    (size, position) are compared as wholes and skipped when sizes or positions
-   rule out a link, and so are blocks of one component.  Pairs of different
-   components are kept if the sum of the lesser counts of all classes allows a
-   link, then verified, and components are joined for good.
+   rule out a link, and so are blocks of one component.  A long list is dealt out
+   by classes of sizes and salts, a task for each pair of blocks that may link.
+   Pairs of different components are kept if the sum of the lesser counts of all
+   classes allows a link.
+6. Answer-level skipping: each set of such a pair has a similar set, the linked one
+   with the most links (or itself).  The overlaps of these similar sets are
+   computed first.  A pair's overlap is then known within what its sets differ
+   from their similar ones: at most what either adds more, at least what either
+   lacks less.  Only pairs that these bounds leave open are compared as wholes.
+   The components of linked pairs are joined for good.
+
+Sets in a verified pair are at most 2**27 slots of a bitmap; more sets than slots
+cost moved bytes, never links.
 
 Defined results: a document without words has an empty set, links with nothing
 and is its own component; repeated rows and ids are members of one component; a
@@ -39,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as K
@@ -47,18 +57,15 @@ from .components import components, extend
 
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
-_MUL = K._splitmix(64, 0xA0761D6478BD642F) | np.uint64(1)
+_MUL = K.splitmix(64, 0xA0761D6478BD642F) | np.uint64(1)
 _A, _B = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
 # --------------------------------------------------------------------------- sets
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
-    data = K.fold(data)
-    starts, ends, first = K.spans(_NOT_SPACE, data, offs)
-    h = K.run_hashes(data, starts, ends)
+def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each row, from its words' hashes."""
     n, count = len(h), np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
     i = np.arange(n)
@@ -82,10 +89,30 @@ def signature(u: np.ndarray) -> bytes:
 
 
 def scan(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
-    """(row, set, signature)."""
-    for lo, _, data, offs in K.chunks(col):
-        for r, u in enumerate(shingle_sets(data, offs, k)):
+    """(row, set, signature).  A long text comes in pieces, of which only the words' hashes are held."""
+    held: list[np.ndarray] = []
+    at = 0
+
+    def whole() -> tuple[int, np.ndarray, bytes]:
+        h = np.concatenate(held)
+        u = shingle_sets(h, np.array([0, len(h)]), k)[0]
+        return at, u, signature(u)
+
+    for lo, hi, data, offs in K.pieces(col, keep=_NOT_SPACE):
+        data = K.fold(data)
+        starts, ends, first = K.spans(_NOT_SPACE, data, offs)
+        h = K.run_hashes(data, starts, ends)
+        if held and lo != at:
+            yield whole()
+            held = []
+        if hi - lo == 1:  # more of this row may follow
+            at = lo
+            held.append(h)
+            continue
+        for r, u in enumerate(shingle_sets(h, first, k)):
             yield lo + r, u, signature(u)
+    if held:
+        yield whole()
 
 
 def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -112,9 +139,9 @@ def _hist(col: pa.Array) -> np.ndarray:
 class Join:
     """One run of the join over (doc_id, text) rows."""
 
-    def __init__(self, docs: DataFrame, k: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, long_list: int = 8192):
         self.spark = K.prepare(docs.sparkSession)
-        self.k, self.num, self.den = k, num, den
+        self.k, self.num, self.den, self.long = k, num, den, long_list
         self.texts = docs.select(F.col("text").cast("binary").alias("text"))
         self.docs = docs
         self.tmp = K.Scratch(self.spark, "ngramjoin")
@@ -309,15 +336,12 @@ class Join:
         before, after = np.minimum(p1, p2), np.minimum(c1 - p1, c2 - p2) - 1
         return before + 1 + after >= self._need(n1, n2)
 
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link, by their whole sets; only sets in pairs are moved."""
-        nodes = self.tmp.keep(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), f"{name}_nodes")
-        count = nodes.count()
-        if not count:
-            return pairs
-        m = min(27, max(16, (16 * count).bit_length()))
+    def sets_of(self, nodes: DataFrame, name: str) -> DataFrame:
+        """(sig, items) of these sets (one column, distinct); only they are moved."""
+        nodes = self.tmp.keep(nodes.toDF("sig"), f"{name}_nodes")
+        m = min(27, max(16, (16 * nodes.count()).bit_length()))
         wanted = self.spark.sparkContext.broadcast(self._bitmap(nodes, m))
-        k, num, den = self.k, self.num, self.den
+        k = self.k
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(wanted.value, np.uint8)
@@ -337,31 +361,77 @@ class Join:
                 if sig:
                     yield _table({"sig": pa.array(sig, pa.binary()), "items": pa.array(items, pa.binary())})
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = self.texts.mapInArrow(sets, "sig binary, items binary").dropDuplicates(["sig"])
+        found = self.tmp.keep(found, f"{name}_sets")
+        wanted.destroy()
+        K.release(self.spark)
+        return found
+
+    def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """(a, b, both, na, nb): the overlap and sizes of each pair (a, b)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ok = np.zeros(b.num_rows, bool)
+                got = np.zeros((b.num_rows, 3), np.int64)
                 for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                     u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    got[i, 1:] = len(u), len(v)
                     if len(u) < len(v):
                         u, v = v, u
-                    if den * len(v) < num * len(u):
-                        continue
                     at = np.searchsorted(u, v)
                     at[at == len(u)] = 0
-                    both = int((u[at] == v).sum())
-                    ok[i] = den * both >= num * (len(u) + len(v) - both)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:2]], ["a", "b"])
+                    got[i, 0] = (u[at] == v).sum()
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array(got[:, c]) for c in range(3)]], ["a", "b", "both", "na", "nb"])
 
-        found = self.texts.mapInArrow(sets, "sig binary, items binary").dropDuplicates(["sig"])
-        found = self.tmp.keep(found, f"{name}_sets")
-        one = pairs.join(found.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
-        two = one.join(found.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-        out = self.tmp.keep(two.mapInArrow(check, "a binary, b binary"), f"{name}_links")
+        one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
+        two = one.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+        return self.tmp.keep(two.mapInArrow(run, "a binary, b binary, both long, na long, nb long"), f"{name}_overlaps")
+
+    def linked(self, overlap: Column) -> Column:
+        """Whether sets of na and nb shingles with this overlap link."""
+        return F.lit(self.den + self.num) * overlap >= F.lit(self.num) * (F.col("na") + F.col("nb"))
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, by their whole sets, with overlap and sizes."""
+        if not pairs.limit(1).count():
+            return pairs.withColumns({c: F.lit(0).cast("long") for c in ("both", "na", "nb")})
+        sets = self.sets_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), name)
+        out = self.compare(pairs, sets, name).where(self.linked(F.col("both")))
         self.tmp.drop(f"{name}_sets")
-        wanted.destroy()
-        K.release(self.spark)
         return out
 
+    def derive(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, from the answers of similar sets as far as these decide.
+
+        For a with the similar set x, and b with y:
+        |a & b| <= |x & y| + |a - x| + |b - y| and |a & b| >= |x & y| - |x - a| - |y - b|.
+        """
+        ends = links.select(F.col("a").alias("s"), F.col("b").alias("x"), "both", F.col("na").alias("ns"), F.col("nb").alias("nx"))
+        ends = ends.unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("x"), "both", F.col("nb").alias("ns"), F.col("na").alias("nx")))
+        degree = ends.groupBy(F.col("s").alias("x")).agg(F.count(F.lit(1)).alias("links"))
+        nodes = self.tmp.keep(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "open_nodes")
+        near = ends.join(nodes, "s", "left_semi").join(degree, "x")
+        best = near.groupBy("s").agg(F.max(F.struct("links", "x", (F.col("ns") - F.col("both")).alias("more"), (F.col("nx") - F.col("both")).alias("less"))).alias("near"))
+        near = nodes.join(best, "s", "left").select("s", F.coalesce("near.x", "s").alias("x"), F.coalesce("near.more", F.lit(0)).alias("more"), F.coalesce("near.less", F.lit(0)).alias("less"))
+        near = self.tmp.keep(near, "similar")
+        of = lambda side: near.select(F.col("s").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("x", "more", "less")])
+        both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        both = both.withColumns({"lo": F.least("x_a", "x_b"), "hi": F.greatest("x_a", "x_b"), "more": F.col("more_a") + F.col("more_b"), "less": F.col("less_a") + F.col("less_b")})
+        both = self.tmp.keep(both.select("a", "b", "lo", "hi", "more", "less"), "lifted")
+        sets = self.sets_of(near.select("s").union(near.select("x")).distinct(), "second")
+        sizes = sets.select("sig", (F.octet_length("items") / 8).cast("long").alias("n"))
+        asked = both.select(F.col("lo").alias("a"), F.col("hi").alias("b")).where("a != b").distinct()
+        known = self.compare(asked, sets, "similar").select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("both").alias("known"))
+        own = sizes.select(F.col("sig").alias("lo"), F.col("sig").alias("hi"), F.col("n").alias("known"))  # one set is similar to both
+        same = both.where("lo = hi").join(own, ["lo", "hi"])
+        both = both.where("lo != hi").join(known, ["lo", "hi"]).unionByName(same)
+        both = both.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
+        sure = self.linked(F.col("known") - F.col("less"))
+        told = F.when(sure, F.lit(True)).when(~self.linked(F.col("known") + F.col("more")), F.lit(False))
+        both = self.tmp.keep(both.select("a", "b", told.alias("told")), "told")
+        rest = self.compare(both.where("told is null").select("a", "b"), sets, "rest").where(self.linked(F.col("both")))
+        return both.where("told").select("a", "b").unionByName(rest.select("a", "b"))
+
     def _bitmap(self, nodes: DataFrame, m: int) -> bytes:
         """2**m bits, set at the first m bits of each signature."""
 
@@ -389,11 +459,21 @@ class Join:
     # -- 5. pairs of different components
 
     def crossing(self, postings: DataFrame, labels: DataFrame, block: int = 512) -> DataFrame:
-        """Pairs of sets of different components that lists and positions allow."""
+        """Pairs of sets of different components that lists and positions allow.
+
+        Lists of more than ``long_list`` postings are dealt out to a task for each pair of
+        blocks: sizes are cut into classes so wide that linked sets are in one class
+        or in classes beside each other, and a class has a salt for every
+        ``long_list`` / 4 of its postings.
+        """
         p = postings.join(labels, postings.sig == labels.node, "left").select("o", "n", "c", "pos", "sig", "hist", F.coalesce("label", "sig").alias("label"))
         p = self.tmp.keep(p, "labelled")
-        mixed = p.groupBy("o").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("o")
-        p = p.join(mixed, "o")
+        mixed = p.groupBy("o").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("o", "size")
+        mixed = self.tmp.keep(mixed, "mixed")
+        dealt = p.join(mixed.where(F.col("size") <= self.long).select("o"), "o").withColumn("side", F.lit(-1)).withColumnRenamed("o", "task")
+        hot = mixed.where(F.col("size") > self.long).select("o")
+        if hot.limit(1).count():
+            dealt = dealt.unionByName(self._block_pairs(p.join(hot, "o"), max(1, self.long // 4)))
         join = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,26 +482,50 @@ class Join:
             for b in batches:
                 if not b.num_rows:
                     continue
-                o, n, c, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                sig, hist, lab = _rows(b.column(4), 16), _hist(b.column(5)), _rows(b.column(6), 16)
+                o, n, c, pos, side = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                sig, hist, lab = _rows(b.column(5), 16), _hist(b.column(6)), _rows(b.column(7), 16)
                 cut = np.concatenate([[0], np.flatnonzero(o[1:] != o[:-1]) + 1, [len(o)]])
                 for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     if held and o[i] != at:
                         yield from join._list(held, block)
                         held = []
                     at = o[i]
-                    held.append((n[i:j], c[i:j], pos[i:j], sig[i:j], hist[i:j], lab[i:j]))
+                    held.append((n[i:j], c[i:j], pos[i:j], side[i:j], sig[i:j], hist[i:j], lab[i:j]))
             if held:
                 yield from join._list(held, block)
 
-        ordered = p.repartition("o").sortWithinPartitions("o", "n", "c", "sig")
+        ordered = dealt.select("task", "n", "c", "pos", "side", "sig", "hist", "label").repartition("task").sortWithinPartitions("task", "n", "c", "sig")
         return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
+    def _block_pairs(self, p: DataFrame, most: int) -> DataFrame:
+        """Postings of long lists, once for each task that compares their block with another.
+
+        ``side`` is 0 and 1 for the two blocks of a task, -1 where a block meets itself.
+        """
+        width = math.log(self.den / self.num)
+        # a little wider, as rounding must not part sets that link; alike sizes have one class where only equal sizes link
+        p = p.withColumn("class", F.floor(F.log("n") / (width * 1.001)) if width else F.col("n").cast("long"))
+        salts = p.groupBy("o", "class").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts"))
+        salts = self.tmp.keep(salts, "salts")
+        beside = lambda step, name: salts.select("o", (F.col("class") + step).alias("class"), F.col("salts").alias(name))
+        d = p.join(salts, ["o", "class"]).join(beside(-1, "above"), ["o", "class"], "left").join(beside(1, "below"), ["o", "class"], "left")
+        d = d.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int"))
+        each = lambda count, f: F.transform(F.sequence(F.lit(1), F.coalesce(count, F.lit(0)), F.lit(1)), lambda i: f(i - 1))
+        some = lambda count, f: F.when(F.coalesce(count, F.lit(0)) > 0, each(count, f)).otherwise(F.array().cast("array<struct<k:bigint,side:int>>"))
+        key = lambda c1, s1, c2, s2: F.xxhash64(F.col("o"), c1, s1, c2, s2)
+        own, cls = F.col("salt"), F.col("class")
+        task = lambda k, side: F.struct(k.alias("k"), side.cast("int").alias("side"))
+        within = some(F.col("salts"), lambda j: task(key(cls, F.least(own, j), cls, F.greatest(own, j)), F.when(j == own, F.lit(-1)).otherwise((own > j).cast("int"))))
+        up = some(F.col("above"), lambda j: task(key(cls, own, cls + 1, j), F.lit(0)))
+        down = some(F.col("below"), lambda j: task(key(cls - 1, j, cls, own), F.lit(1)))
+        d = d.select("n", "c", "pos", "sig", "hist", "label", F.explode(F.concat(within, up, down)).alias("t"))
+        return d.select(F.col("t.k").alias("task"), "n", "c", "pos", "sig", "hist", "label", F.col("t.side").alias("side"))
+
     def __getstate__(self) -> dict:  # workers need the thresholds only
         return {"num": self.num, "den": self.den}
 
     def _list(self, held: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
-        n, c_, pos, sig, hist, lab = (np.concatenate(x) for x in zip(*held, strict=True))
+        n, c_, pos, side, sig, hist, lab = (np.concatenate(x) for x in zip(*held, strict=True))
         _, lab = np.unique(np.ascontiguousarray(lab).view("V16")[:, 0], return_inverse=True)
         if not lab.any():
             return
@@ -437,7 +541,7 @@ class Join:
                 best = min(pos[a:b].max(), pos[c:d].max()) + min((c_[a:b] - pos[a:b]).max(), (c_[c:d] - pos[c:d]).max())
                 if best < self._need(n[a], n[c]):
                     continue
-                ok = (lab[a:b, None] != lab[None, c:d]) & self._may_link(n[a:b, None], c_[a:b, None], pos[a:b, None], n[None, c:d], c_[None, c:d], pos[None, c:d])
+                ok = (lab[a:b, None] != lab[None, c:d]) & ((side[a:b, None] < 0) | (side[a:b, None] != side[None, c:d])) & self._may_link(n[a:b, None], c_[a:b, None], pos[a:b, None], n[None, c:d], c_[None, c:d], pos[None, c:d])
                 i, j = np.nonzero(ok)
                 i, j = i + a, j + c
                 keep = i < j
@@ -459,14 +563,14 @@ class Join:
         postings = self.postings(*self.levels(total))
         K.release(self.spark)
         pairs = self.neighbours(postings)
-        links = self.verify(pairs, "first")
+        links = self.tmp.keep(self.verify(pairs, "first"), "links")
         labels = self.tmp.keep(components(links, self.tmp, "cc"), "labels")
         more = self.crossing(postings, labels).join(pairs, ["a", "b"], "left_anti")
         more = self.tmp.keep(more, "crossing")
-        self.tmp.drop("labelled", "postings")
+        self.tmp.drop("labelled", "postings", "first_overlaps")
         K.release(self.spark)
-        again = self.verify(more, "second")
-        if again.limit(1).count():
+        if more.limit(1).count():
+            again = self.tmp.keep(self.derive(more, links), "links2")
             labels = self.tmp.keep(extend(labels, again, self.tmp, "dd"), "labels2")
         # the least id of each component, for nodes whose members may differ from it
         named = nodes.join(labels, nodes.sig == labels.node, "left").where("members > 1 or label is not null")
@@ -486,6 +590,9 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return _table({"a": _binary(both[:, :16]), "b": _binary(both[:, 16:])})
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    return Join(docs, k, num, den).run()
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, long_list: int = 8192) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Lists of more than ``long_list`` postings are dealt out to several tasks.
+    """
+    return Join(docs, k, num, den, long_list).run()
