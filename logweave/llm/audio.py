@@ -5,13 +5,15 @@ decoded side by side: numpy steps through the samples of a block, with one lane
 for each block.  Decoded samples are resampled by linear interpolation and
 stored as 16-bit PCM.
 
+A cell holds a whole payload, so a text's samples are in one task's memory.  PCM
+is stored by ``code_pcm``, which loses nothing.
+
 Defined results: a null payload is empty; a null or broken media value gives a
 row with ``error`` set and no samples; equal payloads give equal values.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -141,67 +143,102 @@ def feature(pcm: np.ndarray) -> str:
     return f"n={len(pcm)};peak={int(np.abs(wide).max())};mean_abs={int(np.abs(wide).sum(dtype=np.int64)) // len(pcm)};sign_changes={changes};pcm_crc={zlib.crc32(pcm.tobytes())}"
 
 
+def code_pcm(pcm: np.ndarray) -> bytes:
+    """Samples in a form that compresses well, without loss.
+
+    The samples at even places, then what those at odd places differ from the mean
+    of their neighbours (the predict step of an integer wavelet), as 16-bit numbers
+    modulo 2^16.
+    """
+    even, odd = pcm[::2], pcm[1::2]
+    after = np.append(even[1:], even[-1:])[: len(odd)].astype(np.int32)
+    rest = odd - ((even[: len(odd)] + after) >> 1)
+    return even.astype("<i2").tobytes() + rest.astype(np.int32).astype("<i2").tobytes()
+
+
+def read_pcm(coded: bytes) -> np.ndarray:
+    """The samples that ``code_pcm`` was given."""
+    x = np.frombuffer(coded, "<i2")
+    n = len(x)
+    even, rest = x[: n - n // 2], x[n - n // 2 :]
+    after = np.append(even[1:], even[-1:])[: len(rest)].astype(np.int32)
+    out = np.empty(n, "<i2")
+    out[::2] = even
+    out[1::2] = (rest + ((even[: len(rest)] + after) >> 1)).astype("<i2")
+    return out
+
+
+def _some(b: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes by the last column, so that what is made of them stays small."""
+    for lo, hi, _, _ in _rows(b.column(b.num_columns - 1), limit):
+        yield b.slice(lo, hi - lo)
+
+
+def _rows(col: pa.Array, limit: int) -> Iterator[tuple]:
+    last = -1
+    for lo, hi, data, offs in K.pieces(col, limit):
+        if lo > last:  # a long row comes in several pieces
+            last = hi - 1
+            yield lo, hi, data, offs
+
+
 def store_audio(df: DataFrame, payload: str, codec: int = MULAW, rate: int = 8000, pad: int = 576, align: int = 1) -> DataFrame:
-    """Adds ``n_bytes`` and ``media``: the payload, filled with bytes 255 to a positive multiple of ``pad``, as a WAV file."""
+    """``n_bytes`` and ``media``, the payload filled with bytes 255 to a positive multiple of ``pad`` as a WAV file, after all columns but these."""
     K.prepare(df.sparkSession)
-    out = df.select("*", F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("__p"))
+    out = df.select(*K.but(df, "n_bytes", "media"), F.coalesce(F.col(K.quoted(payload)).cast("binary"), F.lit(b"")).alias("__lw_payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column(b.num_columns - 1).to_pylist()
-            filled = (x + b"\xff" * (-len(x) % pad or (0 if x else pad)) for x in p)
-            media = pa.array([wav(x, codec, rate, align) for x in filled], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in p], pa.int64()), media], [*b.schema.names[:-1], "n_bytes", "media"])
+        for whole in batches:
+            for b in _some(whole):
+                p = b.column(b.num_columns - 1).to_pylist()
+                filled = (x + b"\xff" * (-len(x) % pad or (0 if x else pad)) for x in p)
+                media = pa.array([wav(x, codec, rate, align) for x in filled], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in p], pa.int64()), media], [*b.schema.names[:-1], "n_bytes", "media"])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
-    return out.mapInArrow(run, ", ".join([*kept, "n_bytes long", "media binary"]))
+    return K.map_arrow(out, run, "n_bytes long, media binary", ("__lw_payload",))
 
 
 READ = "codec int, rate int, payload binary, pcm binary, feature string, error string"
+READ_NAMES = tuple(x.split()[0] for x in READ.split(", "))
+
 
+def read_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep_pcm: bool = True, coded: bool = False) -> DataFrame:
+    """codec, rate, payload (the data chunk), resampled pcm, feature and error, after all columns but these.
 
-def read_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
-    """Adds codec, rate, payload (the data chunk), resampled pcm, feature and error."""
+    ``coded``: pcm is as ``code_pcm`` gives it, to be stored.
+    """
     K.prepare(df.sparkSession)
-    at = df.columns.index(media)
+    df = df.select(*K.but(df, media, *READ_NAMES), K.quoted(media))
 
     def one(x: bytes | None) -> tuple:
         try:
             codec, rate, align, data = parse_wav(x or b"")
             pcm = resample(decode(codec, align, data), rate, to_rate)
-            return codec, rate, data, pcm.tobytes() if keep_pcm else None, feature(pcm), None
+            kept = (code_pcm(pcm) if coded else pcm.tobytes()) if keep_pcm else None
+            return codec, rate, data, kept, feature(pcm), None
         except ValueError as e:
             return None, None, None, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                s = b.slice(a, 500)
-                cols = list(zip(*[one(v.as_py()) for v in s.column(at)], strict=True))
-                yield pa.RecordBatch.from_arrays([*s.columns, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [*s.schema.names, *[x.split()[0] for x in READ.split(", ")]])
+        for whole in batches:
+            for b in _some(whole):
+                cols = list(zip(*[one(v.as_py()) for v in b.column(b.num_columns - 1)], strict=True))
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [*b.schema.names, *READ_NAMES])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*kept, READ]))
+    return K.map_arrow(df, run, READ)
 
 
 def read_stored(df: DataFrame) -> DataFrame:
-    """From stored media and pcm to media, payload (the data chunk) and the pcm's feature; other columns stay."""
+    """From stored media and coded pcm to payload (the data chunk) and the pcm's feature; other columns stay."""
     K.prepare(df.sparkSession)
-    out = df.select(*[c for c in df.columns if c != "pcm"], "pcm")
-    at = out.columns.index("media")
+    df = df.select(*K.but(df, "media", "pcm", "payload", "feature"), "media", "pcm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 500):
-                s = b.slice(a, 500)
-                payload = [parse_wav(v.as_py())[3] for v in s.column(at)]
-                told = [feature(np.frombuffer(v.as_py(), "<i2")) for v in s.column(s.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(payload, pa.binary()), pa.array(told)], [*s.schema.names[:-1], "payload", "feature"])
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
-    return out.mapInArrow(run, ", ".join([*kept, "payload binary, feature string"]))
-
+        for whole in batches:
+            for b in _some(whole):
+                payload = [parse_wav(v.as_py())[3] for v in b.column(b.num_columns - 2)]
+                told = [feature(read_pcm(v.as_py())) for v in b.column(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(payload, pa.binary()), pa.array(told)], [*b.schema.names[:-1], "payload", "feature"])
 
-def sha256(x: bytes) -> str:
-    return hashlib.sha256(x).hexdigest()
+    return K.map_arrow(df, run, "payload binary, feature string", ("pcm",))
