@@ -83,6 +83,25 @@ def telephony(text):
     return len(p), len(full), sha(full), zlib.crc32(full[-32:])
 
 
+def mulaw(b):
+    u = 255 - b
+    x = ((u % 16) * 8 + 132) * 2 ** (u // 16 % 8) - 132
+    return -x if u >= 128 else x
+
+
+def upsampled(x):
+    out = []
+    for i, v in enumerate(x):
+        out += [v, round((v + x[min(i + 1, len(x) - 1)]) / 2)]
+    return out
+
+
+def audio_feature(pcm):
+    signs = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+    crc = zlib.crc32(b"".join(v.to_bytes(2, "little", signed=True) for v in pcm))
+    return f"n={len(pcm)};peak={max(map(abs, pcm))};mean_abs={sum(map(abs, pcm)) // len(pcm)};sign_changes={signs};pcm_crc={crc}"
+
+
 def warc(pages):
     first = {}
     for page, html in pages:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.llm import audio, chat, decontaminate, langid, linededup, ngramjoin, packing, pii, queries, toxicity, warc
+from logweave.llm import audio, chat, common, decontaminate, langid, linededup, ngramjoin, packing, pii, queries, toxicity, warc
 from logweave.llm.common import Scratch
 
 SMALL = "/root/testdata/sf0.001"
@@ -108,11 +108,12 @@ def test_proximity(spark):
 
 
 def test_line_dedup_edges(spark, docs, empty):
-    out = linededup.dedup_lines(docs.drop("h"))
+    out = linededup.dedup_lines(docs)
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.text)) for r in out.collect())
     want = brute.line_dedup(TEXTS)
     assert got == Counter(want) and sum(r[2] for r in want) == 3
-    assert linededup.dedup_lines(empty).count() == 0 and out.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "h"]
+    assert linededup.dedup_lines(empty).count() == 0 and out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert rows(out, "h", "n", "sig") == Counter({("x", "clash", 1): len(TEXTS)})
 
 
 def test_chat_edges(spark):
@@ -299,7 +300,8 @@ def test_jaccard_on_edited_copies(spark, k, num):
     rows_ = [(i, " ".join(w)) for i, w in enumerate(texts)]
     df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
     want = brute.jaccard(rows_, k, num, 100)
-    assert rows(ngramjoin.jaccard_components(df, k, num, 100), "doc_id", "n_shingles", "component_id") == Counter(want)
+    for long_list in (8192, 8):  # lists worked on as wholes, and dealt out by blocks
+        assert rows(ngramjoin.jaccard_components(df, k, num, 100, long_list), "doc_id", "n_shingles", "component_id") == Counter(want)
     assert 40 < len({w[2] for w in want}) < len(want)  # the fixture has links and documents without any
 
 
@@ -320,5 +322,187 @@ def test_op7_stores_pcm(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", lambda self, df, name, **k: kept.setdefault(name, keep(self, df, name, **k)))
     out = queries.op7_telephony(spark, SMALL)
     stored = kept["media"].select("doc_id", "pcm", "media").collect()
-    told = {r.doc_id: (r.feature, r.media_sha256) for r in out.collect()}
-    assert len(stored) == len(told) and all(told[r.doc_id] == (audio.feature(np.frombuffer(r.pcm, "<i2")), audio.sha256(bytes(r.media))) for r in stored)
+    told = {r.doc_id: (r.feature, r.media_sha256, r.media_bytes) for r in out.collect()}
+    texts = dict(pairs(small(spark, "documents"), "doc_id", "text"))
+    assert len(stored) == len(told) == len(texts)
+    for r in stored:  # samples, feature and media by plain code
+        p = (texts[r.doc_id] or "").encode()
+        full = p + b"\xff" * (-len(p) % 576 or (0 if p else 576))
+        pcm = brute.upsampled([brute.mulaw(b) for b in full])
+        assert audio.read_pcm(bytes(r.pcm)).tolist() == pcm
+        assert told[r.doc_id] == (brute.audio_feature(pcm), brute.sha(bytes(r.media)), len(full) + 46 + len(full) % 2) and bytes(r.media)[46 : 46 + len(full)] == full
+
+
+def test_pcm_code():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 10, 1001):
+        x = rng.integers(-32768, 32768, n).astype("<i2")
+        assert audio.read_pcm(audio.code_pcm(x)).tolist() == x.tolist() and len(audio.code_pcm(x)) == 2 * n
+
+
+def test_op8_counts_and_spans(spark):
+    texts = pairs(small(spark, "documents"), "doc_id", "text")
+    auto = pii.automaton()
+    want = Counter()
+    for i, t in texts:
+        base = brute.pii_base(t)
+        n = Counter(x.split(":")[0] for x in base)
+        want[(i, *[n[k] for k in pii.BASE])] += 1
+        assert [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.find(t or "", auto) if k < 4] == base
+    got = queries.op8_pii(spark, SMALL).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == want
+    by_id = dict(texts)
+    assert all(r.spans == pii.joined(pii.find(by_id[r.doc_id] or "", auto)) for r in got)
+
+
+def test_op2(spark):
+    """Every id of every document is in one piece; sequences are gapless and nearly full."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    out = queries.op2_packing(spark, SMALL).collect()
+    pieces: dict = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        pieces.setdefault(r.doc_id, []).append(r)
+    texts = pairs(small(spark, "documents"), "doc_id", "text")
+    assert len(pieces) == len(texts)
+    for i, t in texts:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert [r.start for r in pieces[i]] == [0, *np.cumsum([r.length for r in pieces[i]])[:-1].tolist()]
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for r in pieces[i])
+        assert sum(r.length for r in pieces[i]) == len(ids)
+    full = Counter()
+    for r in out:
+        full[r.sequence_id] += r.length
+    assert max(full.values()) <= 2048 and 2048 * len(full) <= 1.05 * sum(full.values())
+
+
+# --------------------------------------------------------------------------- hashes, long texts, columns
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rows_ = [(1, f"{x} one two"), (2, f"{y} one two"), (3, f"{x} {y} {x} {y}"), (4, f"{y} {x} {y} {x}"), (5, f"{x} {x} {x}"), (6, f"{y} {y} {y}")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    assert rows(ngramjoin.jaccard_components(df), "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(rows_))
+    check_ids(spark, rows_)
+
+
+def check_ids(spark, rows_):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    out = packing.pack(spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1), queries.tokenizer_path()).collect()
+    for i, t in rows_:
+        want = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(bytes(r.ids) for r in sorted(out, key=lambda r: r.start) if r.doc_id == i) == want
+
+
+def test_ids_do_not_depend_on_hashes(monkeypatch):
+    """With a hash of a few values only, parts are still told apart, within a batch and across batches."""
+    monkeypatch.setattr(packing.K, "run_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    enc = packing.Encoder(queries.tokenizer_path())
+    for text in ("one", "two", "one two six ten", "an ox is at it", "seventy trillion"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, begin = enc.rows(data, np.array([0, len(data)]))
+        assert ids.tolist() == enc.whole(text.encode()).tolist() and begin.tolist() == [0, len(ids)], text
+
+
+def test_run_hashes():
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 100, 40_000).astype(np.uint8)
+    starts = rng.integers(0, 39_000, 20_000)
+    ends = starts + rng.integers(0, 200, 20_000)
+    h = common.run_hashes(data, starts, ends)
+    of: dict = {}
+    for a, b, x in zip(starts.tolist(), ends.tolist(), h.tolist(), strict=True):
+        of.setdefault(data[a:b].tobytes(), set()).add(x)
+    assert all(len(v) == 1 for v in of.values()) and len({*h.tolist()}) == len(of)
+    other = rng.integers(0, 39_000, 20_000)
+    same = common.same_runs(data, starts, data, other, ends - starts)
+    assert same.tolist() == [data[a:b].tobytes() == data[c : c + b - a].tobytes() for a, b, c in zip(starts.tolist(), ends.tolist(), other.tolist(), strict=True)] and 0 < same.sum() < len(same)
+
+
+@pytest.fixture(scope="module")
+def long_text():
+    """Three and a half MB: over every piece limit; many words, one of 70,000 letters, and letters only at the end of a run of digits."""
+    rng = np.random.default_rng(11)
+    words = [f"{''.join(rng.choice(list('abcdeé'), 3))}{i % 5000}" for i in range(330_000)]
+    words[100_000] = "z" * 70_000
+    return " ".join(words) + " 1" * 20_000 + " end"
+
+
+def test_long_texts(spark, long_text):
+    rows_ = [(1, long_text), (2, "short one here"), (3, long_text + " more"), (4, None), (5, long_text[:1000])]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    assert rows(ngramjoin.jaccard_components(df), "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(rows_))
+    check_ids(spark, [rows_[0], rows_[1], (5, rows_[4][1])])
+    keys = np.unique(toxicity.features(np.frombuffer(long_text.encode(), np.uint8), np.array([0, len(long_text.encode())]), 5)[1])[::7]
+    chain = toxicity.Chain(keys, [np.full(len(keys), 1e-5), np.full(len(keys) + 1, 1e-5), np.full(len(keys) + 2, 1e-5)], [0.0, 0.0, 0.0], 5)
+    got = {r.doc_id: r.p_low_quality for r in toxicity.score_toxicity(df, chain).collect()}
+    assert got[1] == got[3] - (got[3] - got[1]) and abs(got[1] - 1 / (1 + np.exp(-1e-5 * len(keys)))) < 1e-6 and got[4] == 0.5
+    net = langid.train(np.array([[97, 98] * 64, [120, 121] * 64] * 40, np.uint8), np.array([0, 1] * 40), ["ab", "xy"], epochs=2)
+    fast, data = langid.Fast(net), np.frombuffer(long_text.encode(), np.uint8)
+    x, _, have = langid.windows(data, np.array([0, len(data)]), 128)
+    want = (fast.probabilities(x) * have[:, None]).sum(axis=0) / len(data)
+    told = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, net).collect()}
+    assert told[1][0] == net.langs[int(want.argmax())] and abs(told[1][1] - want.max()) < 1e-9 and told[4] == ("und", 0.0)
+    media = audio.read_audio(audio.store_audio(df, "text")).select("doc_id", "payload").collect()
+    assert {r.doc_id: bytes(r.payload).rstrip(b"\xff").decode() for r in media} == {i: t or "" for i, t in rows_}
+    assert {r.doc_id: r.n_lines for r in linededup.dedup_lines(df).collect()} == dict.fromkeys(range(1, 6), 1)
+    bench = spark.createDataFrame([(1, " ".join(long_text.split()[200_000:200_020]))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.decontaminate(df, bench).collect()} == {1: 20, 2: 0, 3: 20, 4: 0, 5: 0}
+
+
+def test_clashing_columns(spark):
+    """Columns named like outputs are replaced; others stay, whatever characters their names have."""
+    odd = ["h", "dropped", "n_lines", "n_dropped", "found", "media", "n_bytes", "codec", "rate", "payload", "pcm", "error", "feature", "score", "lang_pred", "p_toxic", "keeper", "k1", "pos", "line", "back`tick", "dot.ted", "__b", "n_hit", "items", "start", "w", "sig", "wid", "side"]
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in odd})
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    results = {
+        "lines": (linededup.dedup_lines(df), {"n_lines", "n_dropped"}),
+        "toxic": (toxicity.score_toxicity(df, toxicity.train_chain(df, none)), {"p_toxic"}),
+        "lang": (langid.identify(df, None), {"lang_pred", "score"}),
+        "pii": (pii.find_pii(df), {"found"}),
+        "audio": (audio.read_audio(audio.store_audio(df, "text")), {"n_bytes", "media", "codec", "rate", "payload", "pcm", "feature", "error"}),
+    }
+    for name, (out, own) in results.items():
+        got = out.collect()
+        assert len(got) == 2 and len(set(out.columns)) == len(out.columns), name
+        assert all(r[c] == f"own {c}" for r in got for c in odd if c not in own) and all(r[c] != f"own {c}" for r in got for c in own), name
+    bench = spark.createDataFrame([(1, "some text")], "item_id long, text string").withColumns({c: F.lit("x") for c in odd})
+    assert rows(decontaminate.decontaminate(df, bench), "doc_id", "n_hit") == Counter([(1, 2), (2, 0)])
+    assert ngramjoin.jaccard_components(df).count() == 2 and packing.pack(df, queries.tokenizer_path()).count() == 2
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("d", "first", "n", "b", "payload", "back`tick")})
+    assert warc.read_archives(warc.write_archives(pages, Scratch(spark, "test"))).count() == 1
+
+
+def test_line_dedup_hot_lines(spark, monkeypatch):
+    """The three ways to join lines with those over the threshold give one result."""
+    rng = np.random.default_rng(4)
+    rows_ = [(i, "\n".join(f"line number {int(x) ** 2:020d}" for x in rng.integers(0, 12, 6))) for i in range(60)]
+    df, want = spark.createDataFrame(rows_, "doc_id long, text string"), Counter(brute.line_dedup(rows_))
+    for small_side, hot in ((200_000, 10_000), (5, 40), (1, 3)):
+        monkeypatch.setattr(linededup, "BROADCAST_ROWS", small_side)
+        monkeypatch.setattr(linededup, "HOT_DOCS", hot)
+        got = Counter((r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.text)) for r in linededup.dedup_lines(df).collect())
+        assert got == want
+
+
+def test_toxicity_chain_against_plain_code(spark):
+    """Scores by dictionaries of features instead of arrays."""
+    docs_, labels = small(spark, "documents"), small(spark, "labels")
+    chain = toxicity.train_chain(docs_, labels)
+    weight = [dict(zip(chain.keys.tolist(), w.tolist(), strict=False)) for w in chain.weights]
+    got = {r.doc_id: [r.p_low_quality, r.p_toxic, r.p_severe] for r in toxicity.score_toxicity(docs_, chain).collect()}
+    for i, t in pairs(docs_.limit(60), "doc_id", "text"):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        feats = set(toxicity.features(data, np.array([0, len(data)]), chain.prefix)[1].tolist())
+        odds: list = []
+        for c in range(3):
+            odds.append(chain.bias[c] + sum(weight[c].get(f, 0) for f in feats) + sum(o * w for o, w in zip(odds, chain.weights[c][len(chain.keys) :], strict=True)))
+        assert np.allclose(got[i], 1 / (1 + np.exp(-np.clip(odds, -30, 30))), atol=1e-6)
