@@ -20,13 +20,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below one half."""
+    """Documents whose probability of being toxic is below one half.
+
+    A null or empty text gets the base rate, so it stays; repeated rows are
+    decided alike; without labels of both kinds all stay.
+    """
     chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs.select(*COLUMNS), chain).where(F.col("p_toxic") < TOXIC_AT).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines of three or more documents stay in one of them; n_chars follows the text."""
+    """Long lines of three or more documents stay in one of them; n_chars follows the text.
+
+    A null text becomes an empty one; rows of one id count as one document.
+    """
     out = linededup.dedup_lines(docs.select(*COLUMNS), 20, 3)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*COLUMNS)
@@ -55,15 +62,19 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which occurrences of benchmark windows cover less than a twentieth."""
-    found = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=13, ratio=20)
-    bad = found.where("contaminated").select("doc_id", "h").distinct()
+    """Documents in which no benchmark window occurs, however long they are.
+
+    Rows are told apart by id and text, so nulls and repeated rows are decided
+    alike; documents without words stay, and an empty benchmark drops nothing.
+    """
+    found = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=13)
+    bad = found.where("n_hit > 0").select("doc_id", "h").distinct()
     out = join_on(docs.select(*COLUMNS, F.xxhash64("text").alias("h")), bad, ["doc_id", "h"], "left_anti")
     return out.select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; a null or empty text has the end id alone."""
     out = packing.pack(docs, tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
