@@ -79,7 +79,7 @@ class Encoder:
     ones, so different parts of one hash get their own ids.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -202,28 +202,40 @@ def _ended(ids: list[np.ndarray], end_id: int) -> np.ndarray:
 
 
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
-    """Karmarkar-Karp: indexes of ``sizes`` in each of ``k`` near-equal windows."""
-    # a partial partition: sums from the largest, less the least one, and a list of members for each
+    """Karmarkar-Karp: indexes of ``sizes`` in each of ``k`` near-equal windows.
+
+    A partial partition holds its sums from the largest, less the least one, and how
+    it was made: from which two, and in which order their sums stand.  Windows are
+    told from the last one back to the single sizes.
+    """
     heap: list = []
+    made: list = [None] * len(sizes)
     for i, s in enumerate(sizes.tolist()):
         sums = np.zeros(k, np.int64)
         sums[0] = s
-        heapq.heappush(heap, (-s, i, sums, [[i]] + [[] for _ in range(k - 1)]))
-    n = len(heap)
+        heap.append((-s, i, sums))
+    heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a, ma = heapq.heappop(heap)
-        _, _, b, mb = heapq.heappop(heap)
+        _, i, a = heapq.heappop(heap)
+        _, j, b = heap[0]
         sums = a + b[::-1]
         order = np.argsort(-sums, kind="stable")
-        mb.reverse()
-        for x, y in zip(ma, mb, strict=True):
-            if y:
-                x.extend(y)
         sums = sums[order]
         sums -= sums[-1]
-        n += 1
-        heapq.heappush(heap, (-int(sums[0]), n, sums, [ma[j] for j in order.tolist()]))
-    return heap[0][3] if heap else [[] for _ in range(k)]
+        heapq.heapreplace(heap, (-int(sums[0]), len(made), sums))
+        made.append((i, j, order))
+    out: list[list[int]] = [[] for _ in range(k)]
+    window = {len(made) - 1: np.arange(k)}
+    for n in range(len(made) - 1, -1, -1):
+        own = window.pop(n)
+        if made[n] is None:
+            out[own[0]].append(n)
+            continue
+        i, j, order = made[n]
+        window[i], window[j] = np.empty(k, np.int64), np.empty(k, np.int64)
+        window[i][order] = own
+        window[j][k - 1 - order] = own
+    return out
 
 
 def windows_of(sizes: np.ndarray, capacity: int) -> list[list[int]]:
