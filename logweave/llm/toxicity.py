@@ -63,21 +63,23 @@ class Chain:
         return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression with class weights, by accelerated gradient steps."""
-    n, m = x.shape
-    if not y.any() or y.all():
-        return np.zeros(m), 20.0 if len(y) and y.all() else -20.0
-    c = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+def _fit(x: np.ndarray, y: np.ndarray, use: np.ndarray, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression with class weights on the rows in ``use``, by accelerated gradient steps."""
+    n, m = int(use.sum()), x.shape[1]
+    share = float(y[use].mean()) if n else 0.0
+    if not 0 < share < 1:
+        return np.zeros(m), 20.0 if share else -20.0
+    c = np.where(use, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), 0)
     w, b = np.zeros(m, np.float32), 0.0
     vw, vb = w, b
-    size = 0.25 * float(c.max()) * (float((x.astype(np.float32) ** 2).sum(axis=1).mean()) * 0.5 + 1) + l2
+    squares = np.einsum("ij,ij->i", x, x)[use].mean()
+    size = 0.25 * float(c.max()) * (float(squares) * 0.5 + 1) + l2
     for t in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
         g = (c * (p - y)).astype(np.float32)
-        nw, nb = vw - (g @ x / n + l2 * vw) / size, vb - float(g.mean()) / size
+        nw, nb = vw - (g @ x / n + l2 * vw) / size, vb - float(g.sum()) / n / size
         k = t / (t + 3)
-        vw, vb = nw + k * (nw - w), nb + k * (nb - b)
+        vw, vb = (nw + k * (nw - w)).astype(np.float32), nb + k * (nb - b)
         w, b = nw, nb
     return w.astype(np.float64), float(b)
 
@@ -86,9 +88,21 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, prefix: int, n_feature
     """``rows``: distinct feature hashes of each row; ``labels``: columns low_quality, toxic."""
     if not len(rows) or not labels[:, 1].any() or labels[:, 1].all():
         return Chain(np.zeros(0, np.uint64), [np.zeros(c) for c in range(3)], [-20.0] * 3, prefix)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    keys, back, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     n = len(rows)
+    every = np.concatenate(rows)
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    df = np.diff(np.append(first, len(every)))
+    keys, df = every[first[df >= 3]], df[df >= 3]  # rarer features have no weight
+    del every, first
+    guarded = np.append(keys, np.uint64(0))  # no feature past the last one is equal to it, but for 0 itself
+    at, back = [], []
+    for i, r in enumerate(rows):
+        place = np.searchsorted(keys, r)
+        place = place[guarded[place] == r].astype(np.int32)
+        back.append(place)
+        at.append(np.full(len(place), i, np.int32))
+    at, back = np.concatenate(at), np.concatenate(back)
     score = np.zeros(len(keys))
     odds = None
     for c in range(2):
@@ -99,36 +113,37 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, prefix: int, n_feature
         a, b = (with_y + 0.5) / (y.sum() + 1), (df - with_y + 0.5) / (n - y.sum() + 1)
         p = df / n
         z = np.abs(with_y / y.sum() - (df - with_y) / (n - y.sum())) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum())) + 1e-12)
-        score = np.maximum(score, np.where(df >= 3, z * (2 if c == 1 else 1), 0))
+        score = np.maximum(score, z * (2 if c == 1 else 1))
         if c == 1:
             odds = np.log(a / b)
     top = np.sort(np.argsort(-score, kind="stable")[:n_features])
     top = top[score[top] > 0]
+    m = len(top)
     place = np.full(len(keys), -1)
-    place[top] = np.arange(len(top))
+    place[top] = np.arange(m)
     f = place[back]
-    x = np.zeros((n, len(top)), np.float32)
+    keys, tells = keys[top], np.flatnonzero(odds[top] > 2)
+    del back, place, df, score
+    x = np.zeros((n, m + 2), np.float32)  # the last two columns: earlier categories' out-of-fold log-odds
     x[at[f >= 0], f[f >= 0]] = 1
-    marks = x[:, odds[top] > 2].sum(axis=1)
+    del f, at
+    marks = x[:, tells].sum(axis=1)
     toxic = labels[:, 1] > 0
     severe = toxic & (marks >= max(1.0, float(np.median(marks[toxic]))))
     y = np.stack([labels[:, 0] > 0, toxic, severe], axis=1).astype(np.float32)
     fold = np.arange(n) % folds
-    held = np.zeros((n, 0))
     weights, bias = [], []
     for c in range(3):
-        xc = np.concatenate([x, held.astype(np.float32) / 4], axis=1)
-        w, b = _fit(xc, y[:, c], l2)
-        w[len(top) :] /= 4
+        xc = x[:, : m + c]
+        w, b = _fit(xc, y[:, c], np.ones(n, bool), l2)
+        w[m:] /= 4
         weights.append(w)
         bias.append(b)
         if c < 2:
-            own = np.zeros(n)
             for k in range(folds):
-                fw, fb = _fit(xc[fold != k], y[fold != k, c], l2, 80)
-                own[fold == k] = xc[fold == k] @ fw + fb
-            held = np.concatenate([held, np.clip(own, -20, 20)[:, None]], axis=1)
-    return Chain(keys[top], weights, bias, prefix)
+                fw, fb = _fit(xc, y[:, c], fold != k, l2, 80)
+                x[fold == k, m + c] = np.clip((xc @ fw.astype(np.float32))[fold == k] + fb, -20, 20) / 4
+    return Chain(keys, weights, bias, prefix)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
@@ -169,9 +184,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix
     rows = sample_labelled(docs, labels, max_rows)
     got = rows.mapInArrow(run, K.schema(rows, "features binary", drop=("text",)))
     got = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "features", "low_quality", "toxic")).alias("r")).select("doc_id", "r.*")
-    found = sorted(got.select("doc_id", "features", "low_quality", "toxic").collect(), key=lambda r: (str(r.doc_id), bytes(r.features)))  # bounded by max_rows and max_features
-    y = np.array([[r.low_quality, r.toxic] for r in found], np.int8).reshape(-1, 2)
-    return fit_chain([np.unique(np.frombuffer(r.features, np.uint64)) for r in found], y, prefix)
+    got = got.select(F.col("doc_id").cast("string").alias("id"), "features", "low_quality", "toxic").orderBy("id")
+    y, found = [], []
+    for r in got.collect():  # bounded by max_rows and max_features
+        y.append([r.low_quality, r.toxic])
+        found.append(np.sort(np.frombuffer(r.features, np.uint64)))
+    return fit_chain(found, np.array(y, np.int8).reshape(-1, 2), prefix)
 
 
 def _split(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
