@@ -8,6 +8,7 @@ megabytes of text are found by a handful of numpy passes.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -131,12 +132,27 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(right, cond, how).drop(*names.values())
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run``, after which its worker gives memory that it no longer needs back, as workers outlive tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def map_arrow(df: DataFrame, run: Callable, more: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``mapInArrow`` whose result has the columns of ``df`` without ``drop``, then ``more``.
 
     Within, the columns of ``df`` have plain names, as Spark takes no backtick there.
     """
     plain = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    run = trimmed(run)
     gone = tuple(p for p, c in zip(plain.columns, df.columns, strict=True) if c in drop)
     out = plain.mapInArrow(run, schema(plain, more, gone))
     kept = [c for c in df.columns if c not in drop]

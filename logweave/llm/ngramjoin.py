@@ -161,7 +161,7 @@ class Join:
 
         d = self.docs.select("doc_id", F.col("text").cast("binary").alias("text"))
         kind = d.schema["doc_id"].dataType.simpleString()
-        return self.tmp.keep(d.mapInArrow(run, f"doc_id {kind}, n long, sig binary"), "signatures")
+        return self.tmp.keep(d.mapInArrow(K.trimmed(run), f"doc_id {kind}, n long, sig binary"), "signatures")
 
     # -- 2. order
 
@@ -195,7 +195,7 @@ class Join:
                         seen.add(s)
                         held.append(u)
                         size += len(u)
-                        if size >= 3_000_000:
+                        if size >= 1_000_000:
                             yield out()
                             held, size = [], 0
             if held:
@@ -216,7 +216,7 @@ class Join:
             both = [zlib.compress(x.tobytes(), 1) for x in (table, np.packbits(bits, bitorder="little"))]
             return pa.table({"bucket": t.column("bucket")[:1], "level": pa.array(both[:1], pa.binary()), "bits": pa.array(both[1:], pa.binary())})
 
-        parts = self.texts.mapInArrow(count, "bucket int, keys binary, counts binary")
+        parts = self.texts.mapInArrow(K.trimmed(count), "bucket int, keys binary, counts binary")
         got = parts.groupBy("bucket").applyInArrow(reduce, "bucket int, level binary, bits binary").collect()  # tables of fixed size: 48 MB at most, in one job
         out, bits = np.zeros(1 << m, np.uint8), np.zeros(1 << (w - 3), np.uint8)
         for r in got:
@@ -260,7 +260,7 @@ class Join:
                     long = lambda x: pa.array(np.repeat(np.array(x, np.int64), each))
                     yield _table({"o": pa.array(np.concatenate(os).astype(np.int64)), "n": long(ns), "c": long(cs), "pos": pa.array(np.concatenate(ps).astype(np.int64)), "sig": wide(sigs, 16), "hist": wide(hists, 64)})
 
-        return self.tmp.keep(self.texts.mapInArrow(run, "o long, n long, c long, pos long, sig binary, hist binary"), "postings")
+        return self.tmp.keep(self.texts.mapInArrow(K.trimmed(run), "o long, n long, c long, pos long, sig binary, hist binary"), "postings")
 
     # -- 4. neighbours in lists
 
@@ -295,7 +295,7 @@ class Join:
         # ranges may cut a long list: neighbours across a cut are left to the last step
         order = [F.col("o"), F.col("n"), F.desc("c"), F.col("sig")]
         ordered = postings.repartitionByRange(*order).sortWithinPartitions(*order)
-        pairs = ordered.mapInArrow(run, "a binary, b binary")
+        pairs = ordered.mapInArrow(K.trimmed(run), "a binary, b binary")
         return self.tmp.keep(pairs.unionByName(self.originals(postings)).distinct(), "neighbours")
 
     def originals(self, postings: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ class Join:
                 if ok.any():
                     yield _pairs(_rows(b.column(3), 16)[ok], _rows(b.column(8), 16)[ok])
 
-        return both.mapInArrow(check, "a binary, b binary")
+        return both.mapInArrow(K.trimmed(check), "a binary, b binary")
 
     # -- verification
 
@@ -361,7 +361,7 @@ class Join:
                 if sig:
                     yield _table({"sig": pa.array(sig, pa.binary()), "items": pa.array(items, pa.binary())})
 
-        found = self.texts.mapInArrow(sets, "sig binary, items binary").dropDuplicates(["sig"])
+        found = self.texts.mapInArrow(K.trimmed(sets), "sig binary, items binary").dropDuplicates(["sig"])
         found = self.tmp.keep(found, f"{name}_sets")
         wanted.destroy()
         K.release(self.spark)
@@ -385,7 +385,7 @@ class Join:
 
         one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
         two = one.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-        return self.tmp.keep(two.mapInArrow(run, "a binary, b binary, both long, na long, nb long"), f"{name}_overlaps")
+        return self.tmp.keep(two.mapInArrow(K.trimmed(run), "a binary, b binary, both long, na long, nb long"), f"{name}_overlaps")
 
     def linked(self, overlap: Column) -> Column:
         """Whether sets of na and nb shingles with this overlap link."""
@@ -452,7 +452,7 @@ class Join:
             return pa.table({"seg": t.column("seg")[:1], "bits": pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())})
 
         out = np.zeros((1 << m) // 8, np.uint8)
-        for r in nodes.select("sig").mapInArrow(slots, "seg int, low binary").groupBy("seg").applyInArrow(merge, "seg int, bits binary").collect():
+        for r in nodes.select("sig").mapInArrow(K.trimmed(slots), "seg int, low binary").groupBy("seg").applyInArrow(merge, "seg int, bits binary").collect():
             out[r.seg * 8192 : (r.seg + 1) * 8192] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
         return out.tobytes()
 
@@ -495,7 +495,7 @@ class Join:
                 yield from join._list(held, block)
 
         ordered = dealt.select("task", "n", "c", "pos", "side", "sig", "hist", "label").repartition("task").sortWithinPartitions("task", "n", "c", "sig")
-        return ordered.mapInArrow(run, "a binary, b binary").distinct()
+        return ordered.mapInArrow(K.trimmed(run), "a binary, b binary").distinct()
 
     def _block_pairs(self, p: DataFrame, most: int) -> DataFrame:
         """Postings of long lists, once for each task that compares their block with another.

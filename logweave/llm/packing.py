@@ -85,11 +85,10 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.most = most
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-        self.at = np.zeros(0, np.int64)  # where each part's bytes begin, and how many
-        self.size = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # sorted; for each the places and counts of its ids and bytes
+        self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.ids = np.zeros(0, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
         self.raw = np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,21 +115,22 @@ class Encoder:
         rep = at[back]
         same = (size == size[rep]).all() and K.same_runs(folded, starts, folded, starts[rep], size).all()
         kept = at[~new]
-        if not same or (len(old) and not ((self.size[old] == size[kept]).all() and K.same_runs(folded, starts[kept], self.raw, self.at[old], size[kept]).all())):
+        if not same or (len(old) and not ((self.size[old] == size[kept]).all() and K.same_runs(folded, starts[kept], self.raw, self.at[old].astype(np.int64), size[kept]).all())):
             return self._apart(folded.tobytes(), starts, ends, first)
         raw = folded.tobytes()
         nf, ni = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
         count = np.empty(len(known), np.int64)
         src = np.empty(len(known), np.int64)
-        count[~new], src[~new] = self.first[old + 1] - self.first[old], self.first[old]
+        count[~new], src[~new] = self.count[old], self.first[old]
         count[new], src[new] = np.diff(nf), nf[:-1] + len(self.ids)
         pool = np.concatenate([self.ids, ni])
         n, s = count[back], src[back]
         end = np.cumsum(n)
         out = pool[np.repeat(s - (end - n), n) + np.arange(end[-1] if len(end) else 0)].astype(np.uint32)
         begin = np.concatenate([[0], end])[first]
-        if len(self.keys) + len(fresh) <= self.most and len(fresh):
-            self._learn(known[new], np.diff(nf), ni, folded, starts[fresh], size[fresh])
+        short = (size[fresh] < 1 << 16) & (np.diff(nf) < 1 << 16)
+        if len(self.keys) + len(fresh) <= self.most and short.any():
+            self._learn(known[new][short], nf[:-1][short], np.diff(nf)[short], ni, folded, starts[fresh][short], size[fresh][short])
         return out, begin
 
     def _apart(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,20 +142,14 @@ class Encoder:
         begin = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])[first]
         return np.concatenate([np.zeros(0, np.uint32), *each]).astype(np.uint32), begin
 
-    def _learn(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        all_keys = np.concatenate([self.keys, keys])
-        order = np.argsort(all_keys, kind="stable")
-        n = np.concatenate([np.diff(self.first), sizes])[order]
-        begin = np.concatenate([self.first[:-1], np.cumsum(sizes) - sizes + len(self.ids)])[order]
-        pool = np.concatenate([self.ids, ids.astype(np.uint16 if not len(ids) or ids.max() < 65536 else np.uint32)])
-        self.first = np.concatenate([[0], np.cumsum(n)])
-        self.ids = pool[np.repeat(begin - self.first[:-1], n) + np.arange(self.first[-1])]
-        self.keys = all_keys[order]
-        end = np.cumsum(lengths)
-        taken = data[np.repeat(starts - (end - lengths), lengths) + np.arange(end[-1])]
-        self.at = np.concatenate([self.at, end - lengths + len(self.raw)])[order]
-        self.size = np.concatenate([self.size, lengths])[order]
-        self.raw = np.concatenate([self.raw, taken])
+    def _learn(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        where = np.searchsorted(self.keys, keys)
+        end = np.cumsum(size)
+        for name, new in (("keys", keys), ("first", first + len(self.ids)), ("count", count), ("at", end - size + len(self.raw)), ("size", size)):
+            old = getattr(self, name)
+            setattr(self, name, np.insert(old, where, new.astype(old.dtype)))
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        self.raw = np.concatenate([self.raw, data[np.repeat(starts - (end - size), size) + np.arange(end[-1])]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -177,7 +171,7 @@ def tokenize(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
     enc = encoder(path)
     held: list[np.ndarray] = []
     at = 0
-    for a, b, data, offs in K.pieces(col, 2 << 20, _NOT_SPACE):
+    for a, b, data, offs in K.pieces(col, 1 << 20, _NOT_SPACE):
         raw = data.tobytes()
         odd = any(s in raw for s in enc.special)
         ids, begin = enc.rows(data, offs)
@@ -325,4 +319,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             packer.flush(True)
             yield taken()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(K.trimmed(run), schema)

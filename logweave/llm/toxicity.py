@@ -182,7 +182,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "low_quality", "toxic", "features"])
 
     rows = sample_labelled(docs, labels, max_rows)
-    got = rows.mapInArrow(run, K.schema(rows, "features binary", drop=("text",)))
+    got = rows.mapInArrow(K.trimmed(run), K.schema(rows, "features binary", drop=("text",)))
     got = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "features", "low_quality", "toxic")).alias("r")).select("doc_id", "r.*")
     got = got.select(F.col("doc_id").cast("string").alias("id"), "features", "low_quality", "toxic").orderBy("id")
     y, found = [], []

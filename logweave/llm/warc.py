@@ -228,7 +228,7 @@ def write_archives(pages: DataFrame, tmp: K.Scratch, min_bytes: int = 0, archive
         if held:
             yield done()
 
-    return with_revisits(pages, min_bytes, tmp).mapInArrow(run, "archive string, content binary")
+    return with_revisits(pages, min_bytes, tmp).mapInArrow(K.trimmed(run), "archive string, content binary")
 
 
 RECORD = "archive string, record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary, error string"
@@ -267,7 +267,7 @@ def read_archives(archives: DataFrame, on_error: str = "raise", payloads: bool =
                 if rows:
                     yield table(rows)
 
-    return archives.select("archive", "content").mapInArrow(run, RECORD)
+    return archives.select("archive", "content").mapInArrow(K.trimmed(run), RECORD)
 
 
 def page_of(record: Column) -> Column:
