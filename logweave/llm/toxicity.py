@@ -84,50 +84,15 @@ def _fit(x: np.ndarray, y: np.ndarray, use: np.ndarray, l2: float, steps: int =
     return w.astype(np.float64), float(b)
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, prefix: int, n_features: int = 2048, folds: int = 3, l2: float = 1e-3) -> Chain:
-    """``rows``: distinct feature hashes of each row; ``labels``: columns low_quality, toxic."""
-    if not len(rows) or not labels[:, 1].any() or labels[:, 1].all():
+def fit_chain(keys: np.ndarray, odds: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, prefix: int, folds: int = 3, l2: float = 1e-3) -> Chain:
+    """``rows``: places in ``keys`` of each row's features; ``labels``: columns low_quality, toxic; ``odds``: how much each feature tells toxic rows."""
+    n, m = len(rows), len(keys)
+    if not n or not labels[:, 1].any() or labels[:, 1].all():
         return Chain(np.zeros(0, np.uint64), [np.zeros(c) for c in range(3)], [-20.0] * 3, prefix)
-    n = len(rows)
-    every = np.concatenate(rows)
-    every.sort()
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    df = np.diff(np.append(first, len(every)))
-    keys, df = every[first[df >= 3]], df[df >= 3]  # rarer features have no weight
-    del every, first
-    guarded = np.append(keys, np.uint64(0))  # no feature past the last one is equal to it, but for 0 itself
-    at, back = [], []
-    for i, r in enumerate(rows):
-        place = np.searchsorted(keys, r)
-        place = place[guarded[place] == r].astype(np.int32)
-        back.append(place)
-        at.append(np.full(len(place), i, np.int32))
-    at, back = np.concatenate(at), np.concatenate(back)
-    score = np.zeros(len(keys))
-    odds = None
-    for c in range(2):
-        y = labels[:, c].astype(float)
-        if not 0 < y.sum() < n:
-            continue
-        with_y = np.bincount(back, y[at], len(keys))
-        a, b = (with_y + 0.5) / (y.sum() + 1), (df - with_y + 0.5) / (n - y.sum() + 1)
-        p = df / n
-        z = np.abs(with_y / y.sum() - (df - with_y) / (n - y.sum())) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (n - y.sum())) + 1e-12)
-        score = np.maximum(score, z * (2 if c == 1 else 1))
-        if c == 1:
-            odds = np.log(a / b)
-    top = np.sort(np.argsort(-score, kind="stable")[:n_features])
-    top = top[score[top] > 0]
-    m = len(top)
-    place = np.full(len(keys), -1)
-    place[top] = np.arange(m)
-    f = place[back]
-    keys, tells = keys[top], np.flatnonzero(odds[top] > 2)
-    del back, place, df, score
     x = np.zeros((n, m + 2), np.float32)  # the last two columns: earlier categories' out-of-fold log-odds
-    x[at[f >= 0], f[f >= 0]] = 1
-    del f, at
-    marks = x[:, tells].sum(axis=1)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    marks = x[:, np.flatnonzero(odds > 2)].sum(axis=1)
     toxic = labels[:, 1] > 0
     severe = toxic & (marks >= max(1.0, float(np.median(marks[toxic]))))
     y = np.stack([labels[:, 0] > 0, toxic, severe], axis=1).astype(np.float32)
@@ -164,12 +129,43 @@ def _sketch(hashes: np.ndarray, most: int) -> np.ndarray:
     return u[np.argpartition(u, most)[:most]] if len(u) > most else u
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix: int = 5, max_features: int = 4000) -> Chain:
-    """Fit on at most ``max_rows`` labelled rows of each class and ``max_features``
-    distinct features of each row (those with the smallest hashes), so what the
-    driver gets has a bound: 2 * max_rows * max_features * 8 bytes.
+def telling_features(rows: DataFrame, most: int) -> DataFrame:
+    """(key, odds) of the ``most`` features that tell labels best, of those in three rows or more.
+
+    ``rows``: doc_id, low_quality, toxic, features.  Counts are summed per batch,
+    then by Spark; a feature's score is the larger of its two labels' z values, that
+    of toxic counted twice.
     """
-    K.prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            size = [len(x) for x in each]
+            keys, back = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
+            low, toxic = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), size) for i in range(2))
+            count = lambda w: pa.array(np.bincount(back, w, len(keys)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), count(None), count(low), count(toxic)], ["key", "df", "low", "toxic"])
+
+    n, low, toxic = rows.agg(F.count(F.lit(1)), F.sum("low_quality"), F.sum("toxic")).first()
+    counts = rows.select("low_quality", "toxic", "features").mapInArrow(K.trimmed(run), "key long, df long, low long, toxic long")
+    counts = counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("df", "low", "toxic")]).where("df >= 3")
+    score = F.lit(0.0)
+    for name, y, times in (("low", low or 0, 1), ("toxic", toxic or 0, 2)):
+        if 0 < y < n:
+            with_y, p = F.col(name), F.col("df") / n
+            z = F.abs(with_y / y - (F.col("df") - with_y) / (n - y)) / F.sqrt(p * (1 - p) * (1 / y + 1 / (n - y)) + 1e-12)
+            score = F.greatest(score, z * times)
+    odds = F.log((F.col("toxic") + 0.5) / ((toxic or 0) + 1)) - F.log((F.col("df") - F.col("toxic") + 0.5) / (n - (toxic or 0) + 1))
+    return counts.select("key", odds.alias("odds"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "key").limit(most).select("key", "odds")
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix: int = 5, max_features: int = 4000, n_features: int = 2048) -> Chain:
+    """Fit on at most ``max_rows`` labelled rows of each class, ``max_features`` distinct
+    features of each row (those with the smallest hashes), and the ``n_features`` of
+    these that tell most.  The driver gets places among these features only: at most
+    2 * max_rows * n_features numbers of two bytes.
+    """
+    spark = K.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,13 +179,27 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, prefix
 
     rows = sample_labelled(docs, labels, max_rows)
     got = rows.mapInArrow(K.trimmed(run), K.schema(rows, "features binary", drop=("text",)))
-    got = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "features", "low_quality", "toxic")).alias("r")).select("doc_id", "r.*")
-    got = got.select(F.col("doc_id").cast("string").alias("id"), "features", "low_quality", "toxic").orderBy("id")
-    y, found = [], []
-    for r in got.collect():  # bounded by max_rows and max_features
-        y.append([r.low_quality, r.toxic])
-        found.append(np.sort(np.frombuffer(r.features, np.uint64)))
-    return fit_chain(found, np.array(y, np.int8).reshape(-1, 2), prefix)
+    one = got.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "features", "low_quality", "toxic")).alias("r")).select("doc_id", "r.low_quality", "r.toxic", "r.features")
+    one = K.Scratch(spark, "toxicity").keep(one, "rows")
+    told = telling_features(one, n_features).collect()  # bounded by n_features
+    keys = np.array([r.key for r in told], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, odds = keys[order], np.array([r.odds for r in told])[order]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(3):
+                u = np.frombuffer(x.as_buffer(), np.uint64)
+                at = np.searchsorted(keys, u)
+                at[at == len(keys)] = 0
+                out.append((at[keys[at] == u] if len(keys) else at[:0]).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "low_quality", "toxic", "places"])
+
+    told = one.mapInArrow(K.trimmed(places), K.schema(one, "places binary", drop=("features",)))
+    found = told.select(F.col("doc_id").cast("string").alias("id"), "low_quality", "toxic", "places").orderBy("id").collect()
+    y = np.array([[r.low_quality, r.toxic] for r in found], np.int8).reshape(-1, 2)
+    return fit_chain(keys, odds, [np.frombuffer(r.places, np.uint16) for r in found], y, prefix)
 
 
 def _split(rows: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
