@@ -66,4 +66,29 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from o group by conv_id
 """
 
-ORACLES = {"op1_decontamination": OP1, "op5_line_dedup": OP5, "op6_chat_formatting": OP6}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+#: Five hexadecimal digits are four of base 32.
+OP3 = f"""
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+f as (select body, min(page_id) as first from p group by body),
+x as (select p.page_id, octet_length(p.body) as size, sha1(p.body) as hex, f.first from p join f on p.body = f.body)
+select page_id, cast(size as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('{_ALPHABET}', cast((cast('0x' || substr(hex, cast(k // 4 * 5 + 1 as bigint), 5) as bigint) >> cast(15 - 5 * (k % 4) as bigint)) & 31 as bigint) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from x
+"""
+
+OP10 = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER.format(c="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 2], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as cut from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from o join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * cut >= 90 * (nx.n + ny.n - cut)),
+e as (select x, y from l union select y, x from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.y from r join e on r.b = e.x),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id from documents d left join n on d.doc_id = n.doc_id join c on d.doc_id = c.doc_id
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op3_warc": OP3, "op5_line_dedup": OP5, "op6_chat_formatting": OP6, "op10_ngram_jaccard": OP10}
