@@ -109,3 +109,8 @@ def shown(v: Column) -> Column:
 def clip_bytes(c: Column, size: int) -> Column:
     """At most ``size`` bytes of UTF-8; a character cut in two is replaced."""
     return F.when(F.octet_length(c) > size, F.make_valid_utf8(F.substring(c.cast("binary"), 1, size).cast("string"))).otherwise(c)
+
+
+def abs_int(c: Column) -> Column:
+    """The magnitude of a whole number."""
+    return F.abs(c.cast("bigint"))

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Separates captures in the single-pass extraction; it cannot occur in UTF-8 text lines.
+#: Separates captures in the single-pass extraction; texts that hold it take another way.
 CUT = "\x01"
 _NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
 
@@ -67,23 +67,26 @@ def trim(c: Column) -> Column:
 
 
 def captures(c: Column, pattern: str) -> Column:
-    """Array of the captures of all groups, from one pass; null without a match.
+    """Array of the captures of all groups from place 1 on, from one pass; null without a match.
 
-    The match is replaced by its captures, which are then split, instead of one
-    search for each group.
+    The match is replaced by a separator and its captures, which are then split,
+    instead of one search for each group.  Without a match nothing is replaced, so
+    nothing is split.  A text that itself holds the separator is searched by group.
     """
     java, _, n = translate(pattern)
     whole = f"\\A(?s:.*?)(?:{java})(?s:.*)\\z"
-    joined = CUT.join(f"${i}" for i in range(1, n + 1))
-    return F.when(c.rlike(java), F.split(F.regexp_replace(c, whole, joined), CUT, -1))
+    joined = "".join(f"{CUT}${i}" for i in range(1, n + 1)) or CUT
+    found = F.get(F.filter(F.array(F.split(F.regexp_replace(c, whole, joined), CUT, -1)), lambda x: F.size(x) > 1), F.lit(0))
+    slow = F.when(c.rlike(java), F.array(F.lit(""), *[F.regexp_extract(c, java, i) for i in range(1, n + 1)]))
+    return F.when(F.contains(c, F.lit(CUT)), slow).otherwise(found)
 
 
 def named(parts: Column, pattern: str) -> dict[str, Column]:
     """Trimmed text of each named group; null if empty."""
-    return {name: F.nullif(trim(F.get(parts, F.lit(i - 1))), F.lit("")) for name, i in translate(pattern)[1]}
+    return {name: F.nullif(trim(F.get(parts, F.lit(i))), F.lit("")) for name, i in translate(pattern)[1]}
 
 
 def extract(c: Column, pattern: str) -> tuple[Column, dict[str, Column]]:
     """(whether it matches, its named groups)."""
     parts = captures(c, pattern)
-    return F.coalesce(matches(c, pattern), F.lit(False)), named(parts, pattern)
+    return parts.isNotNull(), named(parts, pattern)

@@ -16,6 +16,7 @@ from ..functions import gotime, maps, regex, template
 
 Filter = Callable[[DataFrame], DataFrame]
 FACTORIES: dict[str, Callable[..., Filter]] = {}
+#: Fields that an include list never removes.
 ALWAYS_KEPT = ("tag", "@timestamp", "msgid", "container_id", "container_name", "level", "datasource")
 MS_LAYOUT = "2006-01-02T15:04:05.000Z"
 
@@ -110,7 +111,7 @@ def acceptor_pipeline(filters: Sequence[Filter]) -> Filter:
             raise ValueError(f"retag rules run in a cycle: {' -> '.join((*seen, tag))}")
         return 1 + max((depth(t, (*seen, tag)) for t in edges.get(tag, ())), default=0)
 
-    passes = max([1, *(depth(t) - 1 for t in edges)])
+    passes = max([1, *(depth(t) for t in edges)])  # a record enters once more after each retag
     return lambda df: reduce(lambda d, _: chain(filters)(d), range(passes), df)
 
 

@@ -37,7 +37,11 @@ def max_id(df: DataFrame) -> DataFrame:
     return df.agg(F.max("id").alias("max_id"))
 
 
-def next_id(df: DataFrame, max_rotate_id: int = 372036854775807) -> int:
+#: Fixed value: ids begin again after this one.
+MAX_ROTATE_ID = 372036854775807
+
+
+def next_id(df: DataFrame, max_rotate_id: int = MAX_ROTATE_ID) -> int:
     """Where ids go on after a restart."""
     return ((max_id(df).first()[0] or 0) + 1) % max_rotate_id
 
@@ -61,6 +65,13 @@ def next_batch(spark, path: str) -> int:
     return max([-1, *(int(p.getName().partition("=")[2]) for p in _glob(spark, path, "batch=*")[1])]) + 1
 
 
+def drop_batches(spark, path: str, which: str = "batch=*") -> None:
+    """Remove all of the log, or one batch, once its records are committed."""
+    fs, found = _glob(spark, path, which)
+    for p in found:
+        fs.delete(p, True)
+
+
 def drop_tag(spark, path: str, tag: str) -> None:
     """Remove one tag's folders from the log."""
     fs, found = _glob(spark, path, f"batch=*/tag={tag}")

@@ -13,7 +13,7 @@ from typing import Any
 from ..operators import filters as _filters
 from ..operators import parse as _parse  # noqa: F401  registers the parser
 from ..operators.concat import ConcatRule
-from ..sources.sinks import Sink
+from ..sources.sinks import WRITERS, Sink
 
 SIZES = {"async_out_chan_size", "sync_out_chan_size", "out_buf_len", "reenter_chan_len", "fork", "forks", "nfork", "out_chan_size", "internal_chan_size", "internal_buf_size", "discard_chan_size", "sender_inchan_size", "journal_out_chan_len", "commit_id_chan_len", "child_data_chan_len", "child_id_chan_len", "lb_key"}
 SINK_KINDS = {"es", "kafka", "fluentd", "stdout", "http", "parquet", "json", "noop", "memory"}
@@ -59,6 +59,9 @@ class PipelineSpec:
     concat: dict[str, ConcatRule] = field(default_factory=dict)
     concat_max_len: int = 300_000
     concat_wait_sec: float = 3.0
+    tag_concat: dict[str, ConcatRule] = field(default_factory=dict)
+    tag_concat_max_len: int = 300_000
+    tag_concat_wait_sec: float = 5.0  # fixed for rules among the tag filters
     tag_filters: list[_filters.Filter] = field(default_factory=list)
     post: list[_filters.Filter] = field(default_factory=list)
     sinks: list[Sink] = field(default_factory=list)
@@ -78,6 +81,13 @@ def _unknown(what: str, name: str, kind: Any) -> ValueError:
     return ValueError(f"{what} {name!r} has the unknown type {kind!r}")
 
 
+def _registered(what: str, name: str, kind: Any):
+    """The factory of a filter type that ``filters.register`` has added."""
+    if kind not in _filters.FACTORIES:
+        raise _unknown(what, name, kind)
+    return _filters.FACTORIES[kind]
+
+
 def _concat_rules(cfg: dict | None, env: str) -> dict[str, ConcatRule]:
     return {f"{t}.{env}": ConcatRule(r["msg_key"], r["identifier"], r.get("head_regexp") or r["regex"]) for t, r in (cfg or {}).items()}
 
@@ -109,6 +119,7 @@ def load(doc: dict | str, env: str, host: str = "localhost") -> PipelineSpec:
             spec.concat_wait_sec = float(options.get("concat_with_sec", spec.concat_wait_sec))
         if p["type"] == "kafka":
             options = {k: v[env] if isinstance(v, dict) and k in ("brokers", "topics", "groups", "tags") else v for k, v in options.items()}
+            options["add"] = parse_add(options.get("add"), env)
             if options.get("rewrite_tag"):
                 options["rewrite_tag"] = f"{options['rewrite_tag']}.{env}"
         spec.receivers.append(Receiver(name, p["type"], replace_env(options, env) if p["type"] == "rsyslog" else options))
@@ -130,7 +141,7 @@ def load(doc: dict | str, env: str, host: str = "localhost") -> PipelineSpec:
             rules = [(replace_env(r["new_tag"], env), r["regexp"]) for r in o["rules"]]
             spec.acceptor.append(_filters.retag(f"spring.{env}", rules, o.get("msg_key", "log"), o.get("tag_key", "tag")))
         else:
-            raise _unknown("acceptor filter", name, kind)
+            spec.acceptor.append(_registered("acceptor filter", name, kind)(**replace_env(o, env)))
     if last is not None:  # always after the others
         spec.acceptor.append(last)
 
@@ -138,12 +149,13 @@ def load(doc: dict | str, env: str, host: str = "localhost") -> PipelineSpec:
 
     for name, p in _plugins(s.get("tag_filters")):
         if p.get("type") == "concator":
-            spec.concat.update(_concat_rules(p.get("plugins"), env))
-            spec.concat_max_len = int((p.get("config") or {}).get("max_length", spec.concat_max_len))
+            spec.tag_concat.update(_concat_rules(p.get("plugins"), env))
+            spec.tag_concat_max_len = int((p.get("config") or {}).get("max_length", spec.tag_concat_max_len))
             continue
-        if p.get("type") != "parser":
-            raise _unknown("tag filter", name, p.get("type"))
         o = clean(p)
+        if p.get("type") != "parser":  # a registered one gets its settings as they are
+            spec.tag_filters.append(_registered("tag filter", name, p.get("type"))(**o))
+            continue
         if isinstance(o.get("append_time_zone"), dict):
             o["append_time_zone"] = o["append_time_zone"].get(env, "")
         if not o.get("msg_key"):
@@ -165,10 +177,8 @@ def load(doc: dict | str, env: str, host: str = "localhost") -> PipelineSpec:
             spec.post.append(_filters.fields(append_env(o["tags"], env), o.get("include_fields") or (), o.get("exclude_fields") or (), o.get("new_fields")))
         elif kind == "custom-bigdata":
             spec.post.append(_filters.rowkey(append_env(o["tags"], env)))
-        elif kind in _filters.FACTORIES:
-            spec.post.append(_filters.FACTORIES[kind](**o))
         else:
-            raise _unknown("post filter", name, kind)
+            spec.post.append(_registered("post filter", name, kind)(**o))
     if first is not None:
         spec.post.insert(0, first)
 
@@ -176,7 +186,7 @@ def load(doc: dict | str, env: str, host: str = "localhost") -> PipelineSpec:
         if not _active(p, env):
             continue
         kind = p.get("type")
-        if kind not in SINK_KINDS:
+        if kind not in SINK_KINDS and kind not in WRITERS:
             raise _unknown("sender", name, kind)
         o = clean(p)
         tags = o.pop("tags", [])

@@ -30,6 +30,18 @@ class Sink:
     on_error: str = "fail"  # or "skip"
 
 
+#: Further types of sinks: a writer gets the records of the sink's tags, and raises to refuse them.
+WRITERS: dict[str, Callable[[DataFrame, Sink], None]] = {}
+
+
+def register(kind: str) -> Callable:
+    def take(writer: Callable[[DataFrame, Sink], None]) -> Callable[[DataFrame, Sink], None]:
+        WRITERS[kind] = writer
+        return writer
+
+    return take
+
+
 def to_bulk(df: DataFrame, indices: dict[str, str], tag_key: str = "tag") -> DataFrame:
     """bulk_line: action and body for a search engine's bulk API.
 
@@ -87,7 +99,9 @@ def write(df: DataFrame, sink: Sink) -> None:
     """Send a batch of records.  Sinks are told apart by ``kind``."""
     df = df.where(F.col("tag").isin(*sink.tags))
     size, options = sink.batch_size, sink.options
-    if sink.dry:
+    if sink.kind in WRITERS and not sink.dry:
+        WRITERS[sink.kind](df, sink)
+    elif sink.dry:
         print(f"{sink.name}: {df.count()} records, dry")
     elif sink.kind == "es":
 
@@ -109,17 +123,29 @@ def write(df: DataFrame, sink: Sink) -> None:
         host, _, port = options["addr"].rpartition(":")
 
         def forward(rows: Iterator) -> None:
-            for r in rows:
-
-                def send(body: bytes = bytes(r.body)) -> None:
-                    with socket.create_connection((host, int(port)), timeout=30) as s:
-                        s.sendall(body)
-
-                _retry(send)
+            held: list[socket.socket] = []  # one connection for a partition, made anew after an error
+
+            def send(body: bytes) -> None:
+                try:
+                    if not held:
+                        held.append(socket.create_connection((host, int(port)), timeout=30))
+                    held[0].sendall(body)
+                except OSError:
+                    for s in held:
+                        s.close()
+                    held.clear()
+                    raise
+
+            try:
+                for r in rows:
+                    _retry(lambda body=bytes(r.body): send(body))
+            finally:
+                for s in held:
+                    s.close()
 
         decoders.encode_forward(df).foreachPartition(forward)
     elif sink.kind == "stdout":
-        for r in to_lines(df).limit(options.get("most", 20)).collect():
+        for r in to_lines(df).toLocalIterator():  # all records, a partition at a time
             print(sink.name, json.dumps({"tag": r.tag, "id": r.id}), r.line)
         if not options.get("is_commit", True):
             raise RuntimeError(f"{sink.name} does not commit")
