@@ -8,8 +8,9 @@ other files or positions are.
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import maps
@@ -23,7 +24,8 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--config", required=True)
     p.add_argument("--env", required=True)
-    p.add_argument("--input", required=True, help="folder of text lines, one JSON record with a 'tag' field each")
+    p.add_argument("--input", help="folder of text lines, one JSON record with a 'tag' field each")
+    p.add_argument("--landed", action="append", default=[], metavar="NAME=DIR", help="folder with the input of one of the document's receivers")
     p.add_argument("--host", default="localhost")
     p.add_argument("--dry", action="store_true", help="count records instead of sending them")
     a = p.parse_args(argv)
@@ -35,10 +37,21 @@ def main(argv: list[str] | None = None) -> int:
     first = 0
     if spec.journal_path and journal.next_batch(spark, f"{spec.journal_path}/data"):  # the order goes on after what is logged
         first = (journal.read_log(spark, f"{spec.journal_path}/data").agg(F.max("_seq")).first()[0] or 0) + 1
-    rows = readers.placed_lines(spark, a.input).withColumn("message", maps.from_json(F.col("line"))).where("message is not null")
+    records = []
+    if a.landed:
+        records.append(readers.landed_all(spark, spec, dict(x.split("=", 1) for x in a.landed), first=first))
+    if a.input:
+        records.append(tagged_lines(spark, a.input, first))
+    if not records:
+        p.error("--input or --landed is needed")
+    return 0 if pipeline.run_batch(reduce(DataFrame.unionByName, records), spec).committed else 1
+
+
+def tagged_lines(spark: SparkSession, path: str, first: int) -> DataFrame:
+    """Records of JSON lines, in the order of files and lines."""
+    rows = readers.placed_lines(spark, path).withColumn("message", maps.from_json(F.col("line"))).where("message is not null")
     rows = rows.withColumn("tag", F.coalesce(maps.text(F.col("message"), "tag"), F.lit(""))).withColumn("_seq", F.col("place") + first)
-    rows = rows.select("tag", "message", decoders.with_id(rows, "file", "modified", "position").alias("id"), F.lit(None).cast("array<bigint>").alias("ext_ids"), "_seq", F.current_timestamp().alias("_ingest_ts"))
-    return 0 if pipeline.run_batch(rows, spec).committed else 1
+    return rows.select("tag", "message", decoders.with_id(rows, "file", "modified", "position").alias("id"), F.lit(None).cast("array<bigint>").alias("ext_ids"), "_seq", F.current_timestamp().alias("_ingest_ts"))
 
 
 if __name__ == "__main__":

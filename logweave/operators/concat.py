@@ -25,12 +25,13 @@ class ConcatRule:
     head_regexp: str
 
 
-def concat_lines(df: DataFrame, keys: list[str], order: str, text: str, head: str, *, max_len: int = 300_000, wait_sec: float | None = 3.0, ts: str | None = None, sep: str = "") -> DataFrame:
+def concat_lines(df: DataFrame, keys: list[str], order: str, text: str, head: str, *, max_len: int = 300_000, wait_sec: float | None = 3.0, ts: str | None = None, sep: str = "", adopt: bool = False) -> DataFrame:
     """Adds the grouping of lines: one row per record with keys, the head's order,
     ``text`` joined, ``ids`` of the merged lines in order and ``n_lines``.
 
     ``head`` is a boolean column; ``ts`` (a timestamp or seconds) is needed when
     ``wait_sec`` is given.  ``order`` must be unique within the keys.
+    With ``adopt`` a line after the wait begins the next record, unless none is pending.
     """
     by = W.partitionBy(*keys).orderBy(order)
     d = df.withColumn("__g", F.sum(F.col(head).cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
@@ -39,13 +40,21 @@ def concat_lines(df: DataFrame, keys: list[str], order: str, text: str, head: st
         seconds = F.col(ts) if dict(df.dtypes)[ts] in ("double", "float", "bigint", "int") else F.col(ts).cast("timestamp").cast("double")
         late = F.coalesce(seconds - F.lag(seconds).over(by) > wait_sec, F.lit(False))
     d = d.withColumn("__late", late)
-    in_g = W.partitionBy(*keys, "__g").orderBy(order)
-    up_to = in_g.rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("__i", F.row_number().over(in_g) - 1).withColumn("__cum", F.sum(F.octet_length(text)).over(up_to))
-    broken = F.max(F.when(F.col("__i") >= 1, F.col("__late")).otherwise(F.lit(False))).over(up_to)
-    full = (F.col("__i") >= 2) & (F.lag("__cum").over(in_g) >= max_len)
-    d = d.withColumn("__alone", (F.col("__g") == 0) | ((F.col("__i") >= 1) & (full | broken)))
-    group = F.when(F.col("__alone"), F.struct(F.col("__g"), F.col(order).alias("o"))).otherwise(F.struct(F.col("__g"), F.lit(None).alias("o")))
+    of_g = W.partitionBy(*keys, "__g").orderBy(order)
+    up_to = of_g.rowsBetween(W.unboundedPreceding, 0)
+    late = F.col("__late") & (F.row_number().over(of_g) > 1)
+    if adopt:  # late lines part a head's group; a record that is full ends it
+        d = d.withColumn("__s", F.sum(F.when(late & (F.col("__g") > 0), 1).otherwise(0)).over(up_to))
+        of_s = W.partitionBy(*keys, "__g", "__s").orderBy(order)
+        cum = F.sum(F.octet_length(text)).over(of_s.rowsBetween(W.unboundedPreceding, 0))
+        d = d.withColumn("__full", (F.row_number().over(of_s) > 1) & (cum >= max_len))
+        ended = F.coalesce(F.max("__full").over(of_g.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+        d = d.withColumn("__alone", (F.col("__g") == 0) | ended)
+    else:  # after a late line, or one that fills the record, all lines of the group are alone
+        d = d.withColumn("__s", F.lit(0)).withColumn("__i", F.row_number().over(of_g) - 1).withColumn("__cum", F.sum(F.octet_length(text)).over(up_to))
+        full = (F.col("__i") >= 2) & (F.lag("__cum").over(of_g) >= max_len)
+        d = d.withColumn("__alone", (F.col("__g") == 0) | ((F.col("__i") >= 1) & (full | F.max(late).over(up_to))))
+    group = F.when(F.col("__alone"), F.struct("__g", "__s", F.col(order).alias("o"))).otherwise(F.struct("__g", "__s", F.lit(None).alias("o")))
     rest = [c for c in df.columns if c not in (*keys, order, text, head)]
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     out = d.groupBy(*keys, group.alias("__k")).agg(F.min(order).alias(order), lines.alias("__l"), *[F.min_by(c, order).alias(c) for c in rest])

@@ -183,3 +183,8 @@ def rowkey(tags: Sequence[str], id_key: str = "vin", time_key: str = "@timestamp
 
     return run
 
+
+def balance(df: DataFrame, key: str, forks: int | None = None) -> DataFrame:
+    """Records dealt out by a field, so that all of one value are in one partition; a missing value counts as empty."""
+    by = F.coalesce(maps.text(F.col("message"), key), F.lit(""))
+    return df.repartition(forks, by) if forks else df.repartition(by)

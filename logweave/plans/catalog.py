@@ -48,19 +48,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- inputs
 
-PATTERN = r"(?s)^(?P<time>\d{4}-\d{2}-\d{2} +\d{2}:\d{2}:\d{2}\.\d{3}) *\| *(?P<app>[^ |]+) *\| *(?P<level>[^ |]+) *\| *(?P<thread>[^ |]+) *\| *(?P<class>[^ |]+) *\| *(?P<line>\d+): *(?P<args>\{.*\}): *(?P<message>.*)$"
+#: Lines read ``LEVEL time app=.. worker=.. at=place#line ctx={json} - message``.
+PATTERN = r"(?s)^(?P<level>[A-Z]+) +(?P<time>[0-9-]+ [0-9:.]+) +app=(?P<app>[^ ]+) +worker=(?P<worker>[^ ]+) +at=(?P<place>[^#]+)#(?P<line>[0-9]+) +ctx=(?P<args>\{.*\}) +- +(?P<message>.*)$"
 
 
 def log_line() -> Column:
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     return F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" | app"), F.col("user_id") % 7, F.lit(" | "), level, F.lit(" | thread-"), F.col("user_id") % 4,
-        F.lit(" | com.x."), F.col("event_type"), F.lit(" | "), F.col("event_id") % 100, F.lit(": "), F.col("props"), F.lit(": value="), F.col("value").cast("string"),
+        level, F.lit(" "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" app=app"), F.col("user_id") % 7, F.lit(" worker=w"), F.col("user_id") % 4,
+        F.lit(" at=shop."), F.col("event_type"), F.lit("#"), F.col("event_id") % 100, F.lit(" ctx="), F.col("props"), F.lit(" - value="), F.col("value").cast("string"),
     )
 
 
-LINE = """strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' | app' || (user_id % 7) || ' | ' || case when event_type = 'error' then 'ERROR' else 'INFO' end || ' | thread-' || (user_id % 4)
-  || ' | com.x.' || event_type || ' | ' || (event_id % 100) || ': ' || props || ': value=' || cast(value as varchar)"""
+LINE = """case when event_type = 'error' then 'ERROR' else 'INFO' end || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' app=app' || (user_id % 7) || ' worker=w' || (user_id % 4)
+  || ' at=shop.' || event_type || '#' || (event_id % 100) || ' ctx=' || props || ' - value=' || cast(value as varchar)"""
 
 
 def service_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,10 +78,10 @@ def event_records(spark: SparkSession, sf: str) -> DataFrame:
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(source, seq, text, head): documents split on newlines; the first line is a head."""
     d = table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "text"))
-    return d.select("source", (F.col("doc_id") * 100000 + F.col("i")).alias("seq"), "text", (F.col("i") == 0).alias("head"))
+    return d.select("source", (F.col("doc_id") * (1 << 32) + F.col("i")).alias("seq"), "text", (F.col("i") == 0).alias("head"))
 
 
-DOC_LINES = """(select source, doc_id * 100000 + i - 1 as seq, parts[i] as text, i = 1 as head from (
+DOC_LINES = """(select source, doc_id * 4294967296 + i - 1 as seq, parts[i] as text, i = 1 as head from (
   select doc_id, source, parts, unnest(range(1, len(parts) + 1)) as i from (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as parts from documents)))"""
 
 
@@ -99,11 +100,11 @@ from c group by {key}, case when alone then -seq - 1 else g end"""
 # --------------------------------------------------------------------------- parser
 
 _SERVICE = parse.parser(["app.sit"], "log", PATTERN, is_remove_orig_log=True, parse_json_key="args", must_include="app", time_key="time", time_format="2006-01-02 15:04:05.000-0700", append_time_zone="+0800", flatten_depth=1)
-_PARSED = f"""(select event_id, regexp_extract(l, '{PATTERN}', ['time', 'app', 'level', 'thread', 'class', 'line', 'args', 'message']) as g, l
+_PARSED = f"""(select event_id, regexp_extract(l, '{PATTERN}', ['level', 'time', 'app', 'worker', 'place', 'line', 'args', 'message']) as g, l
   from (select event_id, ts, {LINE} as l from events))"""
 
 
-@query(f"""select event_id as id, trim(g.app) as app, trim(g.level) as level, trim(g.thread) as thread, trim(g.class) as class, trim(g.line) as line, trim(g.message) as message,
+@query(f"""select event_id as id, trim(g.app) as app, trim(g.level) as level, trim(g.worker) as worker, trim(g.place) as place, trim(g.line) as line, trim(g.message) as message,
   cast(json_extract(g.args, '$.k') as bigint) as k,
   strftime(strptime(g.time, '%Y-%m-%d %H:%M:%S.%g') - interval 8 hour, '%Y-%m-%dT%H:%M:%S.%fZ') as timestamp from {_PARSED}""")
 def parse_service_log(spark, sf):
@@ -113,12 +114,12 @@ def parse_service_log(spark, sf):
     return out.drop("log")
 
 
-@query(f"""select event_id as id, trim(g.app) as app, trim(g.level) as level, trim(g.thread) as thread, trim(g.class) as class, trim(g.line) as line, trim(g.message) as message,
+@query(f"""select event_id as id, trim(g.app) as app, trim(g.level) as level, trim(g.worker) as worker, trim(g.place) as place, trim(g.line) as line, trim(g.message) as message,
   cast(json_extract(g.args, '$.k') as bigint) as k,
   strftime(strptime(g.time, '%Y-%m-%d %H:%M:%S.%g') - interval 8 hour, '%Y-%m-%dT%H:%M:%S.%fZ') as timestamp from {_PARSED}""")
 def parse_service_records(spark, sf):
     """The same as records: groups and JSON go into the message map."""
-    return to_columns(_SERVICE(service_log(spark, sf)), {"app": "string", "level": "string", "thread": "string", "class": "string", "line": "string", "message": "string", "k": "bigint", "@timestamp": "string"}, ("id",))
+    return to_columns(_SERVICE(service_log(spark, sf)), {"app": "string", "level": "string", "worker": "string", "place": "string", "line": "string", "message": "string", "k": "bigint", "@timestamp": "string"}, ("id",))
 
 
 @query(f"""select trim(g.app) as app, trim(g.level) as level, count(*) as n from {_PARSED} group by 1, 2""")
@@ -200,6 +201,61 @@ def retag_first_match(spark, sf):
     return to_columns(out, {"tag": "string"}, ("id", F.col("tag").alias("t"))).select("id", F.col("t").alias("tag"), F.col("tag").alias("tag_field"))
 
 
+@query(f"""select event_id as id, case when event_type = 'click' then 'spark.sit' else 'spring.sit' end as tag from (select *, {LINE} as l from events)
+  where not (event_type = 'click' and regexp_matches(l, 'value=[0-9]*[02468]\\.'))""")
+def retag_reenter(spark, sf):
+    """Records with a new tag go through all filters again: one that stands before the retag drops some of them."""
+    rec = service_log(spark, sf).withColumn("tag", F.lit("spring.sit"))
+    first, then = filters.ignore_lines("spark.sit", "log", "identifier", r"value=[0-9]*[02468]\."), filters.retag("spring.sit", [("spark.sit", r"at=shop\.click#")])
+    return filters.acceptor_pipeline([first, then])(rec).select("id", "tag")
+
+
+@query("select event_id as id, 'kind.' || event_type as tag, 'kind.' || event_type as tag_field from events where user_id % 5 <> 0")
+def tag_from_field(spark, sf):
+    """The tag comes from a field; records without it are dropped."""
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("kind."), F.col("event_type")))
+    rec = envelope(e, F.lit("x"), {"origin": kind}, F.col("event_id"))
+    return to_columns(decoders.tag_from_field(rec, "origin"), {"tag": "string"}, ("id", F.col("tag").alias("t"))).select("id", F.col("t").alias("tag"), F.col("tag").alias("tag_field"))
+
+
+@query("select event_id as id, event_type || chr(1) || user_id as a, cast(event_id as varchar) || chr(1) as b from events")
+def parse_control_chars(spark, sf):
+    """Captured texts may hold any control character."""
+    e = table(spark, sf, "events")
+    line = F.concat(F.lit("a="), F.col("event_type"), F.lit("\x01"), F.col("user_id"), F.lit(" b="), F.col("event_id"), F.lit("\x01"))
+    rec = envelope(e, F.lit("a.sit"), {"log": line}, F.col("event_id"))
+    return to_columns(parse.parser(["a.sit"], "log", r"(?s)^a=(?P<a>[^ ]*) b=(?P<b>.*)$", flatten_depth=0)(rec), {"a": "string", "b": "string"}, ("id",))
+
+
+@query(f"""select event_id as id, trim(g.app) || '-' || lower(trim(g.level)) || '@app.sit' as who, cast(null as varchar) as worker from {_PARSED}""")
+def parser_add_rules(spark, sf):
+    """The parser's add rules, written with an environment, over what it parsed."""
+    from . import config
+
+    add = config.parse_add({"app.{env}": [{"who": "%{app}-%{@lower:level}@%{@tag}"}, {"worker": None}]}, "sit")
+    out = parse.parser(["app.sit"], "log", PATTERN, flatten_depth=0, add=add)(service_log(spark, sf))
+    return to_columns(out, {"who": "string", "worker": "string"}, ("id",))
+
+
+@query("select event_id as id, abs(cast(event_id as bigint) - 5000) as distance from events")
+def abs_int(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), maps.abs_int(F.col("event_id") - 5000).alias("distance"))
+
+
+@query("""select '{"kind":"' || event_type || '","user":"u' || user_id || '"}' as value, count(*) as n from events group by 1""")
+def kafka_sink_values(spark, sf):
+    e = table(spark, sf, "events")
+    rec = envelope(e, F.lit("a.sit"), {"kind": F.col("event_type"), "user": F.concat(F.lit("u"), F.col("user_id"))}, F.col("event_id"))
+    return sinks.to_kafka(rec).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select 'a.sit' as tag, event_id as id, '{"kind":"' || event_type || '"}' as line from events""")
+def line_sink_rows(spark, sf):
+    rec = envelope(table(spark, sf, "events"), F.lit("a.sit"), {"kind": F.col("event_type")}, F.col("event_id"))
+    return sinks.to_lines(rec)
+
+
 @query("""select event_id as id from (select event_id, row_number() over (partition by date_trunc('minute', ts) order by event_id) as n from events) where n <= 2""")
 def throttle_per_minute(spark, sf):
     """The throttle's window taken as a minute: timestamps are cut to whole minutes before it."""
@@ -243,15 +299,25 @@ def concat_conversation_turns(spark, sf):
     return _told(concat_lines(c, ["conv_id"], "seq", "text", "head", wait_sec=None), "conv_id")
 
 
-@query("""with a as (select conv_id, conv_id * 1000 + turn as id, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as g from conversations)
-  select id, min(id) over (partition by conv_id, case when g = 0 then -id - 1 else g end) as head_id from a""")
+@query("select conv_id * 4294967296 + turn as id from conversations")
 def journal_ext_ids(spark, sf):
     """Every id is committed: a stitched record's own and those merged into it."""
-    c = table(spark, sf, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), (F.col("role") == "user").alias("head"))
+    c = table(spark, sf, "conversations").select("conv_id", (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), (F.col("role") == "user").alias("head"))
     out = concat_lines(c, ["conv_id"], "seq", "text", "head", wait_sec=None)
-    rec = out.select(F.col("seq").alias("id"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(1))).alias("ext_ids"), F.col("seq").alias("head_id"))
-    ids = F.concat(F.array("id"), F.coalesce("ext_ids", F.array().cast("array<bigint>")))
-    return rec.select(F.explode(ids).alias("id"), "head_id")
+    return journal.committed_ids(out.select(F.col("seq").alias("id"), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(1))).alias("ext_ids")))
+
+
+@query(f"""with r as (select user_id, event_id as seq, epoch(ts) as ts, {LINE} as text, event_id % 4 = 0 as head from events),
+a as (select *, sum(case when head then 1 else 0 end) over (partition by user_id order by seq) as g, coalesce(ts - lag(ts) over (partition by user_id order by seq) > 9000, false) as late from r),
+b as (select *, sum(case when late and not head and g > 0 then 1 else 0 end) over (partition by user_id, g order by seq) as s from a),
+c as (select *, row_number() over (partition by user_id, g, s order by seq) > 1 and sum(strlen(text)) over (partition by user_id, g, s order by seq) >= 250 as full_now from b),
+d as (select *, g = 0 or coalesce(bool_or(full_now) over (partition by user_id, g order by seq rows between unbounded preceding and 1 preceding), false) as alone from c)
+select user_id, min(seq) as seq, md5(string_agg(text, '' order by seq)) as text_md5, count(*) as n_lines from d group by user_id, g, s, case when alone then seq else -1 end""")
+def concat_adopt_late(spark, sf):
+    """A line that comes after the wait begins the next record."""
+    e = table(spark, sf, "events")
+    d = e.select("user_id", F.col("event_id").alias("seq"), log_line().alias("text"), (F.col("event_id") % 4 == 0).alias("head"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
+    return _told(concat_lines(d, ["user_id"], "seq", "text", "head", max_len=250, wait_sec=9000, ts="ts", adopt=True), "user_id")
 
 
 # --------------------------------------------------------------------------- functions
@@ -408,7 +474,7 @@ _TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
 @query(f"""with b as (select event_id, ts, {_TS} as t, (select max(ts) from events) as hi from events)
 select event_id as id, case when event_id % 11 = 0 then 'env' when event_id % 7 = 0 then 'json' when event_id % 5 = 0 then 'signature'
   when epoch(date_trunc('second', timestamp '{_NOW}')) - floor(epoch(ts)) > 86400 then 'expired' when epoch(date_trunc('second', timestamp '{_NOW}')) - floor(epoch(ts)) < -86400 then 'from the future' end as reject_reason,
-  case when event_id % 11 <> 0 and event_id % 7 <> 0 and event_id % 5 <> 0 and abs(epoch(date_trunc('second', timestamp '{_NOW}')) - floor(epoch(ts))) <= 86400 then 'wechat.sit' end as tag_field from b""")
+  case when event_id % 11 <> 0 and event_id % 7 <> 0 and event_id % 5 <> 0 and abs(epoch(date_trunc('second', timestamp '{_NOW}')) - floor(epoch(ts))) <= 86400 then 'origin.sit' end as tag_field from b""")
 def http_signature_validate(spark, sf):
     """Signed bodies, some with a wrong signature, body or environment, at a fixed time."""
     e = table(spark, sf, "events")
@@ -416,7 +482,7 @@ def http_signature_validate(spark, sf):
     sig = F.md5(F.concat(t, F.when(F.col("event_id") % 5 == 0, "other").otherwise(_SALT)).cast("binary"))
     body = F.when(F.col("event_id") % 7 == 0, F.lit("[1]")).otherwise(F.to_json(F.struct(t.alias("@timestamp"), sig.alias("sig"))))
     d = e.select(F.col("event_id").alias("id"), body.alias("body"), F.when(F.col("event_id") % 11 == 0, "dev").otherwise("sit").alias("env"))
-    out = decoders.decode_http(d, tag="forward-wechat", orig_tag="wechat", env="sit", signature_salt=_SALT, max_allowed_delay_sec=86400, max_allowed_ahead_sec=86400, now=F.lit(_NOW).cast("timestamp"))
+    out = decoders.decode_http(d, tag="forward-origin", orig_tag="origin", env="sit", signature_salt=_SALT, max_allowed_delay_sec=86400, max_allowed_ahead_sec=86400, now=F.lit(_NOW).cast("timestamp"))
     return out.select("id", "reject_reason", maps.text(F.col("message"), "tag").alias("tag_field"))
 
 
@@ -459,9 +525,10 @@ def forward_codec_roundtrip(spark, sf):
 
 @query("select user_id, 1 as n_partitions from events group by user_id")
 def partition_colocation(spark, sf):
-    """All records of a key meet in one partition."""
-    e = table(spark, sf, "events").select("user_id").repartition("user_id").withColumn("p", F.spark_partition_id())
-    return e.groupBy("user_id").agg(F.count_distinct("p").cast("int").alias("n_partitions"))
+    """All records of a field's value meet in one partition."""
+    rec = envelope(table(spark, sf, "events"), F.lit("a.sit"), {"user": F.col("user_id")}, F.col("event_id"))
+    p = filters.balance(rec, "user").select(F.try_variant_get(F.col("message")["user"], "$", "bigint").alias("user_id"), F.spark_partition_id().alias("p"))
+    return p.groupBy("user_id").agg(F.count_distinct("p").cast("int").alias("n_partitions"))
 
 
 @query(f"""with m as (select event_id, event_type, user_id, {LINE} as l, row_number() over (partition by date_trunc('second', ts) order by event_id) as n from events)

@@ -7,6 +7,7 @@ broker, and these functions turn its rows into records, in batch or in streams.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import gotime, maps, regex
 from . import msgpack
 
+#: The environments that a path may name.
 ENVS = ("sit", "perf", "uat", "prod")
 
 
@@ -116,10 +118,14 @@ def stamp_tag(df: DataFrame, tag_key: str = "tag") -> DataFrame:
 
 def decode_http(
     df: DataFrame, *, tag: str, orig_tag: str, env: str, signature_key: str = "sig", signature_salt: str, time_key: str = "@timestamp",
-    time_format: str = "2006-01-02T15:04:05.000Z", ts_regexp: str = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}.\d{3}Z$", max_allowed_delay_sec: int = 300,
+    time_format: str = "2006-01-02T15:04:05.000Z", ts_regexp: str = "", max_allowed_delay_sec: int = 300,
     max_allowed_ahead_sec: int = 60, max_body_byte: int = 1 << 20, tag_key: str = "tag", now: Column | None = None, body: str = "body", path_env: str = "env",
 ) -> DataFrame:
-    """Adds tag, message and ``reject_reason`` (null for valid bodies)."""
+    """Adds tag, message and ``reject_reason`` (null for valid bodies).
+
+    Without ``ts_regexp`` a time must have the layout's characters, any digits for its digits.
+    """
+    ts_regexp = ts_regexp or f"^{re.sub('[0-9]', '[0-9]', re.escape(time_format))}$"
     msg = maps.from_json(F.col(body))
     d = df.withColumn("__m", msg)
     ts, sig = maps.text(F.col("__m"), time_key), maps.text(F.col("__m"), signature_key)

@@ -1,16 +1,17 @@
 """Wire formats, receivers, sinks and the streaming run."""
 
-import http.server
 import gzip
+import hashlib
+import http.server
 import json
 import threading
-import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions import maps
-from logweave.plans import config
+from logweave.operators import filters
+from logweave.plans import config, pipeline
 from logweave.sources import decoders, msgpack, readers, sinks
 from logweave.streaming import metrics, run
 from logweave.streaming.concat import stream_concat
@@ -28,38 +29,70 @@ def test_msgpack_round_trip(v):
 
 
 def test_forward_frames(spark):
-    rec = {"a": "b", "container_id": "lbkey"}
-    good = [msgpack.pack(["test.sit", [[0, rec]]]), msgpack.pack(["test.sit", [[0, rec], [0, rec], [0, rec]]]), msgpack.pack(["test.sit", msgpack.pack([0, rec]) + msgpack.pack([1, rec])]), msgpack.pack([b"test.sit", 5, rec])]
-    bad = [msgpack.pack(["x"]), msgpack.pack([1, [[0, rec]]]), msgpack.pack(["x", [[0, "no map"]]]), msgpack.pack("x")]
-    df = spark.createDataFrame([(b"".join(good[:2] + bad),), (b"".join(good[2:]),), (b"\xc1broken",), (None,)], "body binary")
-    out = decoders.stamp_tag(decoders.decode_forward(df))
+    one, two = {"msg": "door open", "pod": "p7"}, {"msg": "door shut", "pod": "p7", "n": 3}
+    single = msgpack.pack(["door.uat", [[1700000000, one]]])
+    batch = msgpack.pack(["door.uat", [[1, one], [2, two], [3, two]]])
+    packed = msgpack.pack(["door.uat", msgpack.pack([4, one]) + msgpack.pack([5, two])])
+    plain = msgpack.pack([b"door.uat", 6, two, {"option": True}])
+    bad = [msgpack.pack(["alone"]), msgpack.pack([7, [[0, one]]]), msgpack.pack(["t", [[0, [1]]]]), msgpack.pack({"no": "list"}), msgpack.pack(["t", [5]])]
+    df = spark.createDataFrame([(single + b"".join(bad) + batch,), (packed + plain,), (b"\xc1",), (None,), (single[:-1],)], "body binary")
+    out = decoders.stamp_tag(decoders.decode_forward(df), "from")
     rows = out.select("tag", F.transform_values("message", lambda _, v: maps.shown(v)).alias("m")).collect()
-    assert len(rows) == 7 and all(r.tag == "test.sit" and r.m == {"a": "b", "container_id": "lbkey", "tag": "test.sit"} for r in rows)
-    assert decoders.tag_from_field(out, "a").select("tag").distinct().collect()[0].tag == "b"
+    assert len(rows) == 7 and {r.tag for r in rows} == {r.m.pop("from") for r in rows} == {"door.uat"}
+    assert sorted(r.m["msg"] for r in rows) == ["door open"] * 3 + ["door shut"] * 4 and sum("n" in r.m for r in rows) == 4
+    assert {r.tag for r in decoders.tag_from_field(out, "pod").collect()} == {"p7"} and decoders.tag_from_field(out, "n").count() == 0  # a number is no tag
     spark.dataSource.register(readers.FrameSource)
-    got = spark.read.format("forward_frames").option("hex", ";".join(g.hex() for g in good)).load()
-    assert got.count() == 7
+    assert spark.read.format("forward_frames").option("hex", ";".join(g.hex() for g in (single, batch, packed, plain))).load().count() == 7
 
 
 def test_http_bodies(spark):
-    import hashlib
-
-    salt, ts = "2ji3r32r932r32j932jf92", "2024-01-01T00:00:00.000Z"
-    sig = hashlib.md5((ts + salt).encode()).hexdigest()
-    body = lambda **k: json.dumps({"@timestamp": ts, "url": "abc", "sig": sig} | k)
-    cases = [
-        (body(n={"m": 1}), "sit", None), (body(), "no", "env"), (body(url="x" * 1000), "sit", "size"), ("[1]", "sit", "json"), ("{}", "sit", "time key"), (json.dumps({"@timestamp": 5}), "sit", "time key"),
-        (body(**{"@timestamp": "2024"}), "sit", "time format"), (json.dumps({"@timestamp": ts}), "sit", "no signature"), (body(sig="x"), "sit", "signature"),
-    ]
-    df = spark.createDataFrame([(b, e) for b, e, _ in cases], "body string, env string")
-
-    def rows(now):
-        return decoders.decode_http(df, tag="forward-wechat", orig_tag="wechat", env="sit", signature_salt=salt, max_body_byte=1000, now=F.lit(now).cast("timestamp")).collect()
-
-    got = rows("2024-01-01 00:00:30")
-    assert [r.reject_reason for r in got] == [c[2] for c in cases] and got[0].tag == "forward-wechat.sit"
-    assert json.loads(str(got[0].message["tag"])) == "wechat.sit" and "n__m" in got[0].message
-    assert rows("2024-01-01 00:06:00")[0].reject_reason == "expired" and rows("2023-12-31 23:58:00")[0].reject_reason == "from the future"
+    salt, noon = "pepper&lime", "2031-07-09T12:00:00.000Z"
+    signed = lambda at=noon, **more: json.dumps({"@timestamp": at, "sig": hashlib.md5((at + salt).encode()).hexdigest()} | more)
+    cases = {
+        "fine": (signed(car={"door": "left"}), "uat", None), "unknown environment": (signed(), "lab", "env"), "too long": (signed(fill="y" * 600), "uat", "size"), "a list": ("[2]", "uat", "json"), "no text": ("", "uat", "json"),
+        "no time": ('{"sig":"x"}', "uat", "time key"), "time is a number": ('{"@timestamp":1}', "uat", "time key"), "other time": (signed("9 July"), "uat", "time format"), "unsigned": (json.dumps({"@timestamp": noon}), "uat", "no signature"),
+        "signed by another": (json.dumps({"@timestamp": noon, "sig": hashlib.md5(noon.encode()).hexdigest()}), "uat", "signature"),
+    }
+    df = spark.createDataFrame([(b, e) for b, e, _ in cases.values()], "body string, env string")
+
+    def at(now):
+        return decoders.decode_http(df, tag="cars", orig_tag="app", env="prod", signature_salt=salt, max_body_byte=500, now=F.lit(now).cast("timestamp")).collect()
+
+    got = at("2031-07-09 12:01:00")
+    assert dict(zip(cases, [r.reject_reason for r in got], strict=True)) == {k: c[2] for k, c in cases.items()}
+    assert got[0].tag == "cars.prod" and json.loads(str(got[0].message["tag"])) == "app.uat" and json.loads(str(got[0].message["car__door"])) == "left" and got[1].message is None
+    for now, reason in (("2031-07-09 12:05:00", None), ("2031-07-09 12:05:01", "expired"), ("2031-07-09 11:59:00", None), ("2031-07-09 11:58:59", "from the future")):
+        assert at(now)[0].reject_reason == reason
+
+
+def test_receivers_of_a_document(spark, tmp_path):
+    """All receivers of a document, from landed input, in one DataFrame; again in a stream."""
+    recvs = {
+        "f": {"type": "fluentd", "tag_key": "t"}, "r": {"type": "fluentd", "is_rewrite_tag_from_tag_key": True, "origin_rewrite_tag_key": "kind"},
+        "h": {"type": "http", "tag": "web", "orig_tag": "app", "signature_salt": "s", "max_allowed_delay_sec": 1 << 40},
+        "k": {"type": "kafka", "is_json_format": True, "tags": {"uat": "bus.uat"}, "add": {"bus.uat": {"seen": "%{@tag}"}}}, "s": {"type": "rsyslog", "tag": "box.{env}"},
+    }
+    spec = config.load({"settings": {"acceptor": {"recvs": {"plugins": recvs}}}}, "uat", "h")
+    for d in ("f", "r", "h/uat", "k", "s"):
+        (tmp_path / d).mkdir(parents=True)
+    (tmp_path / "f/1").write_bytes(msgpack.pack(["a.uat", [[0, {"x": 1}], [0, {"x": 2}]]]))
+    (tmp_path / "r/1").write_bytes(msgpack.pack(["a.uat", [[0, {"kind": "b.uat"}], [0, {}]]]))
+    at = "2031-07-09T12:00:00.000Z"
+    (tmp_path / "h/uat/1").write_text(json.dumps({"@timestamp": "2020-01-01T00:00:00.000Z", "sig": hashlib.md5(b"2020-01-01T00:00:00.000Zs").hexdigest()}) + "\n" + json.dumps({"@timestamp": at, "sig": "no"}) + "\n")
+    (tmp_path / "k/1").write_text('{"y":1}\nno json\n')
+    (tmp_path / "s/1").write_text("<13>Jul  9 12:00:00 host cron[1]: ran\n")
+    paths = {n: str(tmp_path / n) for n in recvs} | {"h": f"{tmp_path}/h/*"}
+    out = readers.landed_all(spark, spec, paths)
+    told = lambda df: sorted((r.tag, json.loads(str(r.message.get("t") or r.message.get("tag"))), "seen" in r.message) for r in df.collect())
+    want = [("a.uat", "a.uat", False)] * 2 + [("b.uat", "b.uat", False), ("box.uat", "box.uat", False), ("bus.uat", "bus.uat", True), ("web.uat", "app.uat", False)]
+    assert told(out) == want and len({r.id for r in out.collect()}) == 6
+    seqs = [r._seq for r in readers.landed(spark, spec.receivers[0], paths["f"], "uat", first=5).collect()]
+    assert sorted(seqs) == [5, 6]
+    with pytest.raises(ValueError, match="no receivers named"):
+        readers.landed_all(spark, spec, {"other": "x"})
+    q = readers.landed_all(spark, spec, paths, stream=True).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and told(spark.read.parquet(f"{tmp_path}/out")) == want
 
 
 def test_kafka_and_syslog(spark):
@@ -128,12 +161,54 @@ def test_streaming_concat_passes_other_records(spark, tmp_path):
     spark.createDataFrame([(t, j, i + 1) for i, (t, j) in enumerate(lines)], "tag string, j string, id long").coalesce(1).write.json(f"{tmp_path}/in")
     src = spark.readStream.schema("tag string, j string, id long").json(f"{tmp_path}/in")
     src = src.select("tag", maps.from_json(F.col("j")).alias("message"), "id", F.lit(None).cast("array<bigint>").alias("ext_ids"), F.col("id").alias("_seq"), F.current_timestamp().alias("_ingest_ts"))
-    q = run.start(src, spec, f"{tmp_path}/ck")
+    spec.journal_path = f"{tmp_path}/j"
     want = {"h-sit-1": ("h1 more", "x"), "h-sit-3": ("h2", "x"), "h-sit-4": ("no identifier", None), "h-sit-5": (None, "no text"), "h-sit-6": ("h of another tag", "x")}
-    got, until = {}, time.time() + 60
-    while got.keys() != want.keys() and q.isActive and time.time() < until:  # waits for the timeout of the last head
-        time.sleep(1)
-        if list(tmp_path.glob("out/*.parquet")):
-            got = {m["msgid"]: (m.get("log"), m.get("c")) for m in (json.loads(r.message) for r in spark.read.parquet(f"{tmp_path}/out").collect())}
-    q.stop()
-    assert q.exception() is None and got == want
+    q = run.start(src, spec, f"{tmp_path}/ck")
+    assert q.awaitTermination(120) and q.exception() is None  # it ends by itself, once the last head has waited
+    sent = lambda: {m["msgid"]: (m.get("log"), m.get("c")) for m in (json.loads(r.message) for r in spark.read.parquet(f"{tmp_path}/out").collect())}
+    assert sent() == want
+    batch = config.load(doc, "sit", "h")
+    batch.sinks[0].options["path"] = f"{tmp_path}/batch"
+    read = spark.read.schema("tag string, j string, id long").json(f"{tmp_path}/in")
+    read = read.select("tag", maps.from_json(F.col("j")).alias("message"), "id", F.lit(None).cast("array<bigint>").alias("ext_ids"), F.col("id").alias("_seq"), F.current_timestamp().alias("_ingest_ts"))
+    assert pipeline.run_batch(read, batch).committed
+    assert {m["msgid"]: (m.get("log"), m.get("c")) for m in (json.loads(r.message) for r in spark.read.parquet(f"{tmp_path}/batch").collect())} == want
+    assert {r.id for r in spark.read.parquet(f"{tmp_path}/j/ids").collect()} == {1, 2, 3, 4, 5, 6} and pipeline.uncommitted(spark, spec) is None
+
+
+def test_stream_sends_what_was_left(spark, tmp_path):
+    """A batch that a sink refuses stays in the log; a stream with a new checkpoint sends it first."""
+    doc = {"settings": {"producer": {"plugins": {"m": {"type": "stdout", "tags": ["a.{env}"], "is_commit": False}}}, "tag_filters": {"plugins": {"p": {"type": "parser", "tags": ["a.{env}"], "msg_key": "log", "pattern": "^h(?P<rest>.*)$"}}}}}
+    spec = config.load(doc, "sit", "h")
+    spec.journal_path = f"{tmp_path}/j"
+
+    def source(name, *lines):
+        spark.createDataFrame([("a.sit", json.dumps({"log": t}), i) for i, t in lines], "tag string, j string, id long").write.json(f"{tmp_path}/{name}")
+        src = spark.readStream.schema("tag string, j string, id long").json(f"{tmp_path}/{name}")
+        return src.select("tag", maps.from_json(F.col("j")).alias("message"), "id", F.lit(None).cast("array<bigint>").alias("ext_ids"), F.col("id").alias("_seq"), F.current_timestamp().alias("_ingest_ts"))
+
+    q = run.start(source("one", (1, "h-one")), spec, f"{tmp_path}/ck1")
+    with pytest.raises(Exception, match="not committed"):
+        q.awaitTermination(60)
+    assert pipeline.uncommitted(spark, spec).count() == 1  # as it was before parsing
+    spec.sinks = [sinks.Sink("m", "parquet", ["a.sit"], {"path": f"{tmp_path}/out"})]
+    q = run.start(source("two", (2, "h-two"), (3, "no match")), spec, f"{tmp_path}/ck2")
+    assert q.awaitTermination(60) and sorted(json.loads(r.message)["rest"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["-one", "-two"]
+    assert pipeline.uncommitted(spark, spec) is None
+
+
+def test_registered_plugins(spark):
+    seen = []
+
+    @filters.register("only-odd")
+    def only_odd(key):
+        return lambda df: df.where(maps.text(F.col("message"), key).cast("long") % 2 == 1)
+
+    @sinks.register("list")
+    def to_list(df, sink):
+        seen.extend(r.id for r in df.collect())
+
+    doc = {"acceptor_filters": {"plugins": {"o": {"type": "only-odd", "key": "x"}}}, "producer": {"plugins": {"l": {"type": "list", "tags": ["a.{env}"]}}}}
+    rows = spark.createDataFrame([("a.sit", f'{{"x":{i}}}', i) for i in range(6)], "tag string, j string, id long")
+    rows = rows.select("tag", maps.from_json(F.col("j")).alias("message"), "id", F.lit(None).cast("array<bigint>").alias("ext_ids"), F.col("id").alias("_seq"), F.current_timestamp().alias("_ingest_ts"))
+    assert pipeline.run_batch(rows, config.load(doc, "sit")).committed and sorted(seen) == [1, 3, 5]
