@@ -101,9 +101,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of texts and binaries up to which such a side is sent.
+BROADCAST_BYTES = 64 << 20
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most ``limit + 1`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast hint only after counting at most ``limit + 1`` rows and the bytes of their texts.
+
+    ``df`` should be a written table, as it is read for this.
+    """
+    wide = [F.octet_length(quoted(c)) for c, t in df.dtypes if t in ("string", "binary")]
+    size = sum((F.coalesce(F.sum(x), F.lit(0)) for x in wide), F.lit(0))
+    n, total = df.limit(limit + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= limit and total <= BROADCAST_BYTES else df
 
 
 def quoted(name: str) -> str:

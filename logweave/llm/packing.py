@@ -72,6 +72,17 @@ def parts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and for each place the number of its value."""
+    order = np.argsort(x)
+    s = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = s[1:] != s[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], order[new], back
+
+
 class Encoder:
     """Token ids of batches of texts, with a bounded memory of parts seen.
 
@@ -106,7 +117,7 @@ class Encoder:
         folded = K.fold(data)
         starts, ends, first = parts(folded, offs)
         hashes = K.run_hashes(folded, starts, ends)
-        known, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        known, at, back = _distinct(hashes)
         where = np.searchsorted(self.keys, known)
         where[where == len(self.keys)] = 0
         new = self.keys[where] != known if len(self.keys) else np.ones(len(known), bool)
@@ -204,8 +215,10 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
     """
     heap: list = []
     made: list = [None] * len(sizes)
+    # what a partition holds is never over the largest size; numbers of two bytes are sorted fastest
+    kind = np.int16 if not len(sizes) or sizes.max() < 1 << 14 else np.int64
     for i, s in enumerate(sizes.tolist()):
-        sums = np.zeros(k, np.int64)
+        sums = np.zeros(k, kind)
         sums[0] = s
         heap.append((-s, i, sums))
     heapq.heapify(heap)

@@ -92,7 +92,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE))
-    return out.select("doc_id", *[count(k) for k in pii.BASE], sha256(told(base)).alias("base_sha256"), told(F.col("found")).alias("spans"))
+    more = [count(k) for k in pii.KINDS if k not in pii.BASE]
+    return out.select("doc_id", *[count(k) for k in pii.BASE], sha256(told(base)).alias("base_sha256"), told(F.col("found")).alias("spans"), *more, F.size("found").cast("long").alias("n_spans"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
