@@ -24,7 +24,7 @@ def test_stages(spark):
     assert pairs(c) == [(i, t) for (i, t), r in zip(got, brute.jaccard(got, 5, 80, 100), strict=True) if r[0] == r[2]]
     d = stages["decontamination"](spark, c, SMALL).cache()
     kept = pairs(c)
-    assert pairs(d) == [x for x, r in zip(kept, brute.decontaminate(kept, bench), strict=True) if not r[5]]
+    assert pairs(d) == [x for x, r in zip(kept, brute.decontaminate(kept, bench), strict=True) if not r[2]]
     e = stages["packing"](spark, d, SMALL).collect()
     assert {r.doc_id for r in e} == {i for i, _ in pairs(d)}
     whole = corpus_pipeline.run(spark, SMALL).collect()
@@ -42,3 +42,26 @@ def test_one_document_of_each_group(spark):
     assert got == Counter([(3, a), (5, b), (7, c), (8, d + " more"), (9, ""), (9, ""), (None, None)])
     e = spark.createDataFrame([(None, d), (None, d), (None, d + " more")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
     assert corpus_pipeline.dedup_documents(spark, e, SMALL).count() == 1
+
+
+def test_long_documents_with_a_passage_go(spark):
+    """A benchmark window is a twentieth of a long document's words at most, but the document goes; clean, null and empty ones stay."""
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text.split()
+    filler = " ".join(f"filler{i}" for i in range(3000))
+    rows = [(1, f"{filler} {' '.join(bench[:13])} {filler}"), (2, f"{filler} {' '.join(bench[:12])}"), (3, None), (4, ""), (None, filler), (5, filler), (5, filler), (6, " ".join(bench).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_contaminated(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(x for x in rows if x[0] not in (1, 6))
+
+
+def test_other_stages_on_nulls_and_repeats(spark):
+    """Null and empty texts, repeated rows and an empty table pass every stage."""
+    rows = [(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "more words here")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    assert Counter((r.doc_id, r.text) for r in stages["toxicity"](spark, docs, SMALL).collect()) == Counter(rows)
+    assert Counter((r.doc_id, r.text) for r in stages["line_dedup"](spark, docs, SMALL).collect()) == Counter((i, t or "") for i, t in rows)
+    assert stages["packing"](spark, docs, SMALL).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0, name
