@@ -73,7 +73,7 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = audio.store_audio(docs, "text").select("doc_id", "n_bytes", "media")
     media = audio.read_audio(media, coded=True).select("doc_id", "n_bytes", "media", "pcm")
-    stored = Scratch(spark, "telephony").keep(media, "media", **{"compression": "zstd", "parquet.compression.codec.zstd.level": 6, "parquet.block.size": 16 << 20})
+    stored = Scratch(spark, "telephony").keep(media, "media", **{"compression": "zstd", "parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20, "parquet.block.size": 16 << 20})
     out = audio.read_stored(stored)
     tail = F.crc32(F.substring("payload", -32, 32))
     return out.select(
