@@ -1,8 +1,10 @@
-"""Counters of stages: observed in the plan, collected by a listener."""
+"""Counters of stages: observed in the plan, collected by a listener, read over HTTP."""
 
 from __future__ import annotations
 
+import http.server
 import json
+import logging
 import threading
 import time
 from collections.abc import Callable
@@ -23,6 +25,7 @@ class Registry(StreamingQueryListener):
     def __init__(self) -> None:
         self._lock = threading.Lock()
         self._of: dict[str, object] = {}
+        self._total: dict[tuple[str, str], int] = {}
 
     def add(self, name: str, fn: Callable[[], object]) -> None:
         with self._lock:
@@ -35,7 +38,11 @@ class Registry(StreamingQueryListener):
         p = event.progress
         self._put(f"query:{p.id}", {"batch": p.batchId, "rows": p.numInputRows, "rows_per_sec": p.processedRowsPerSecond})
         for name, row in (p.observedMetrics or {}).items():
-            self._put(name, row.asDict())
+            counts = row.asDict()
+            self._put(name, counts)
+            with self._lock:
+                for k, n in counts.items():
+                    self._total[name, k] = self._total.get((name, k), 0) + (n or 0)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
@@ -53,3 +60,59 @@ class Registry(StreamingQueryListener):
 
     def to_json(self) -> str:
         return json.dumps(self.read(), default=str)
+
+    def to_prometheus(self) -> str:
+        """Totals of observed stages, and the values of functions that return numbers."""
+        with self._lock:
+            totals, named = sorted(self._total.items()), [(k, v) for k, v in sorted(self._of.items()) if callable(v)]
+        out = ["# TYPE logweave_rows_total counter"]
+        for (stage, k), n in totals:
+            tag = f",tag={_quoted(k[2:])}" if k.startswith("n:") else ""
+            name = "logweave_tag_rows_total" if tag else "logweave_rows_total"
+            out.append(f"{name}{{stage={_quoted(stage)}{tag}}} {n}")
+        for k, v in named:
+            if isinstance(x := v(), (int, float)):
+                out.append(f"logweave_value{{name={_quoted(k)}}} {float(x):g}")
+        return "\n".join(out) + "\n"
+
+
+def _quoted(s: str) -> str:
+    return json.dumps(s, ensure_ascii=False)
+
+
+def serve(registry: Registry, addr: str) -> http.server.ThreadingHTTPServer:
+    """Answer ``/health``, ``/monitor`` (JSON) and ``/metrics`` (for scrapers) at ``host:port``, until ``shutdown()``."""
+    pages = {"/health": (lambda: "ok", "text/plain"), "/monitor": (registry.to_json, "application/json"), "/metrics": (registry.to_prometheus, "text/plain; version=0.0.4")}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            body, kind = pages.get(self.path.partition("?")[0], (None, ""))
+            if body is None:
+                self.send_error(404)
+                return
+            data = body().encode()
+            self.send_response(200)
+            self.send_header("Content-Type", kind)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    host, _, port = addr.rpartition(":")
+    server = http.server.ThreadingHTTPServer((host, int(port)), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
+def heartbeat(registry: Registry, seconds: float) -> Callable[[], None]:
+    """Log what the registry holds every ``seconds``; the returned function ends it."""
+    done = threading.Event()
+
+    def beat() -> None:
+        while not done.wait(seconds):
+            logging.getLogger("logweave").info("heartbeat threads=%d %s", threading.active_count(), registry.to_json())
+
+    threading.Thread(target=beat, daemon=True).start()
+    return done.set

@@ -13,6 +13,7 @@ from ..operators import journal
 from ..operators.concat import ConcatRule
 from ..plans import pipeline
 from ..plans.config import PipelineSpec
+from . import metrics
 from .concat import stream_concat
 
 
@@ -63,13 +64,15 @@ def start(source: DataFrame, spec: PipelineSpec, checkpoint: str, *, processing_
     their ids are committed; with a new checkpoint, what an older one left
     uncommitted is sent first.  Without ``processing_time`` all that is available
     is processed, records that wait for more lines go out when idle, and the query
-    ends.
+    ends.  Stages ``accepted`` and ``stitched`` are observed, with counts of the
+    tags that sinks take.
     """
     spark = source.sparkSession
     log, first = f"{spec.journal_path}/data", zlib.crc32(checkpoint.encode()) << 31  # batches of other checkpoints have other numbers
     if spec.journal_path and not journal._glob(spark, checkpoint, "offsets")[1]:
         pipeline.replay(spark, spec)
-    df = pipeline.before_concat(spec)(source)
+    tags = tuple(sorted(pipeline.wanted_tags(spec)))
+    df = metrics.observe(pipeline.before_concat(spec)(source), "accepted", tags)
     stateful = False
     for rules, most, wait in ((spec.concat, spec.concat_max_len, spec.concat_wait_sec), (spec.tag_concat, spec.tag_concat_max_len, spec.tag_concat_wait_sec)):
         if rules:
@@ -77,6 +80,9 @@ def start(source: DataFrame, spec: PipelineSpec, checkpoint: str, *, processing_
                 raise ValueError("in a stream, concat rules are either the receivers' or the tag filters'")
             df, stateful = stitched(df, rules, most, wait), True
 
+    if stateful:
+        df = metrics.observe(df, "stitched", tags)
+
     def batch(out: DataFrame, batch_id: int) -> None:
         out = out.persist()
         try:

@@ -5,10 +5,14 @@ import hashlib
 import http.server
 import json
 import threading
+import time
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
+from logweave import cli
 from logweave.functions import maps
 from logweave.operators import filters
 from logweave.plans import config, pipeline
@@ -212,3 +216,45 @@ def test_registered_plugins(spark):
     rows = spark.createDataFrame([("a.sit", f'{{"x":{i}}}', i) for i in range(6)], "tag string, j string, id long")
     rows = rows.select("tag", maps.from_json(F.col("j")).alias("message"), "id", F.lit(None).cast("array<bigint>").alias("ext_ids"), F.col("id").alias("_seq"), F.current_timestamp().alias("_ingest_ts"))
     assert pipeline.run_batch(rows, config.load(doc, "sit")).committed and sorted(seen) == [1, 3, 5]
+
+
+def test_stream_from_the_cli_and_its_metrics(spark, tmp_path, monkeypatch):
+    """Landed lines go through a stream; a registry counts its stages and answers over HTTP."""
+    recvs = {"k": {"type": "kafka", "is_json_format": True, "tags": {"sit": "a.sit"}}}
+    doc = {"settings": {"acceptor": {"recvs": {"plugins": recvs}}, "producer": {"plugins": {"m": {"type": "parquet", "tags": ["a.{env}"], "path": f"{tmp_path}/out"}}}}}
+    (tmp_path / "c.yml").write_text(json.dumps(doc))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1").write_text('{"x":1}\n{"x":2}\n')
+    kept, made = [], metrics.Registry
+    monkeypatch.setattr(metrics, "Registry", lambda: kept.append(made()) or kept[0])
+    argv = ["--config", f"{tmp_path}/c.yml", "--env", "sit", "--landed", f"k={tmp_path}/in", "--checkpoint", f"{tmp_path}/ck", "--addr", "127.0.0.1:0"]
+    assert cli.main(argv) == 0
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    reg = kept[0]
+    reg.add("seven", lambda: 7)
+    server = metrics.serve(reg, "127.0.0.1:0")
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}", timeout=10).read().decode()
+    try:
+        assert get("/health") == "ok"
+        for _ in range(100):  # the listener hears of a batch some time after it
+            if "accepted" not in json.loads(get("/monitor")):
+                time.sleep(0.1)
+        assert json.loads(get("/monitor"))["accepted"] == {"n": 2, "n:a.sit": 2}
+        lines = get("/metrics").splitlines()
+        assert 'logweave_rows_total{stage="accepted"} 2' in lines and 'logweave_tag_rows_total{stage="accepted",tag="a.sit"} 2' in lines
+        assert 'logweave_value{name="seven"} 7' in lines
+        with pytest.raises(urllib.error.HTTPError):
+            get("/other")
+    finally:
+        spark.streams.removeListener(reg)
+        server.shutdown()
+        server.server_close()
+
+
+def test_heartbeat(caplog):
+    with caplog.at_level("INFO", "logweave"):
+        reg, seen = metrics.Registry(), threading.Event()
+        reg.add("beat", lambda: seen.set() or 3)
+        stop = metrics.heartbeat(reg, 0.01)
+        assert seen.wait(10)
+        stop()
