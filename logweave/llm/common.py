@@ -142,16 +142,35 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(right, cond, how).drop(*names.values())
 
 
-def trimmed(run: Callable) -> Callable:
-    """``run``, after which its worker gives memory that it no longer needs back, as workers outlive tasks."""
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: What a worker process remembers from task to task, by the name of the operator that needs it.
+remembered: dict[str, dict] = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what this worker has ``remembered`` for other operators than ``but``."""
+    for name in [k for k in remembered if k != but]:
+        del remembered[name]
+
+
+def trimmed(run: Callable, remembers: str | None = None) -> Callable:
+    """``run``, after which its worker gives memory that it no longer needs back, as workers outlive tasks.
+
+    What the worker has ``remembered`` for other operators than ``remembers`` goes before.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(remembers)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
     return whole
 

@@ -62,7 +62,8 @@ class Phrases:
 
 def build_index(docs: DataFrame, phrases: Phrases, tmp: Scratch) -> DataFrame:
     """Store postings (doc_id, h, pos, t) of the vocabulary's terms and each length."""
-    stop = docs.sparkSession.createDataFrame([("", LENGTH_TERM)], "term string, t long")
+    # a range, as rows from a list would start Python workers on the executors
+    stop = docs.sparkSession.range(0, 1, 1, 1).select(F.lit("").alias("term"), F.lit(LENGTH_TERM).cast("long").alias("t"))
     wanted = broadcast_if_small(phrases.vocabulary.unionByName(stop))
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
     posted = rows.select(*KEY, F.posexplode("w").alias("pos", "term")).join(wanted, "term").select(*KEY, "pos", "t")

@@ -20,6 +20,7 @@ a lost task is run again by itself and gives the same rows.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,14 @@ def parts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     # a space-delimited chunk with a character of another class is one part
-    chunk_start, chunk_end, _ = K.spans(np.arange(256) > 0, np.where(c == _SPACE, 0, 1).astype(np.uint8), offs)
-    odd = np.zeros(n + 1, np.int64)
+    chunk_start, chunk_end, _ = K.spans(np.arange(256) > 0, (c != _SPACE).view(np.uint8), offs)
+    odd = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
     np.cumsum(c == _OTHER, out=odd[1:])
     whole = (odd[chunk_end] - odd[chunk_start]) > 0
     is_whole = np.zeros(n + 1, np.int8)
     np.add.at(is_whole, chunk_start[whole], 1)
     np.add.at(is_whole, chunk_end[whole], -1)
-    is_whole = np.cumsum(is_whole[:n]).astype(bool)
+    is_whole = np.cumsum(is_whole[:n], dtype=np.int8).view(bool)
     cut = np.zeros(n + 1, bool)
     if n:
         cut[1:n] = (c[1:] != c[:-1]) & ~(is_whole[1:] & is_whole[:-1])
@@ -83,6 +84,16 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[new], order[new], back
 
 
+def _runs(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of ``size`` from ``starts`` on, one run after the other."""
+    end = np.cumsum(size)
+    return np.repeat(starts - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+#: Parts that are encoded at once, as the library's result for a part is far larger than its ids.
+ENCODED = 4096
+
+
 class Encoder:
     """Token ids of batches of texts, with a bounded memory of parts seen.
 
@@ -91,6 +102,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = 2_000_000):
+        # a task has one core; a thread for each of the machine's cores would also have a heap of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -103,11 +116,14 @@ class Encoder:
         self.raw = np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        first = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(x) for x in found], out=first[1:])
-        flat = np.fromiter((i for x in found for i in x), np.uint32, first[-1])
-        return first, flat
+        first = np.zeros(len(texts) + 1, np.int64)
+        flat = [np.zeros(0, np.uint32)]
+        for a in range(0, len(texts), ENCODED):
+            found = [e.ids for e in self.tok.encode_batch_fast(texts[a : a + ENCODED], add_special_tokens=False)]
+            size = [len(x) for x in found]
+            first[a + 1 : a + 1 + len(size)] = size
+            flat.append(np.fromiter((i for x in found for i in x), np.uint32, sum(size)))
+        return np.cumsum(first, out=first), np.concatenate(flat)
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
@@ -132,13 +148,12 @@ class Encoder:
         nf, ni = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
         count = np.empty(len(known), np.int64)
         src = np.empty(len(known), np.int64)
-        count[~new], src[~new] = self.count[old], self.first[old]
-        count[new], src[new] = np.diff(nf), nf[:-1] + len(self.ids)
-        pool = np.concatenate([self.ids, ni])
-        n, s = count[back], src[back]
-        end = np.cumsum(n)
-        out = pool[np.repeat(s - (end - n), n) + np.arange(end[-1] if len(end) else 0)].astype(np.uint32)
-        begin = np.concatenate([[0], end])[first]
+        used = self.ids[_runs(self.first[old].astype(np.int64), self.count[old].astype(np.int64))]
+        count[~new], count[new] = self.count[old], np.diff(nf)
+        src[~new], src[new] = np.cumsum(count[~new]) - count[~new], nf[:-1] + len(used)
+        n = count[back]
+        out = np.concatenate([used, ni])[_runs(src[back], n)].astype(np.uint32, copy=False)
+        begin = np.concatenate([[0], np.cumsum(n)])[first]
         short = (size[fresh] < 1 << 16) & (np.diff(nf) < 1 << 16)
         if len(self.keys) + len(fresh) <= self.most and short.any():
             self._learn(known[new][short], nf[:-1][short], np.diff(nf)[short], ni, folded, starts[fresh][short], size[fresh][short])
@@ -160,17 +175,15 @@ class Encoder:
             old = getattr(self, name)
             setattr(self, name, np.insert(old, where, new.astype(old.dtype)))
         self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
-        self.raw = np.concatenate([self.raw, data[np.repeat(starts - (end - size), size) + np.arange(end[-1])]])
-
-
-_encoders: dict[str, Encoder] = {}
+        self.raw = np.concatenate([self.raw, data[_runs(starts, size)]])
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One per worker process and vocabulary, until a task of another operator comes."""
+    own = K.remembered.setdefault(__name__, {})
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def tokenize(col: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
@@ -255,6 +268,10 @@ def windows_of(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         k += 1
 
 
+#: Bytes of ids after which a worker hands its rows on.
+OUT_BYTES = 1 << 20
+
+
 class Packer:
     """Cuts, batches and packs the documents of one partition."""
 
@@ -262,6 +279,7 @@ class Packer:
         self.capacity, self.batch, self.piece = capacity, batch, piece
         self.next = part << 33
         self.out: list[tuple] = []
+        self.out_bytes = 0
         self.rest: list[tuple] = []
         self.waiting = 0
 
@@ -272,7 +290,7 @@ class Packer:
             self._place([(doc_id, a, ids[a : a + self.capacity], n)])
         # a rest is cut into pieces, of which many make windows nearly equal
         for a in range(full, n, self.piece):
-            cut = ids[a : min(a + self.piece, n)]
+            cut = ids[a : min(a + self.piece, n)].copy()  # else all ids of the document would wait with it
             self.rest.append((doc_id, a, cut, n))
             self.waiting += len(cut)
         if self.waiting >= self.batch * self.capacity:
@@ -282,6 +300,7 @@ class Packer:
         at = 0
         for doc_id, start, ids, n in pieces:
             self.out.append((doc_id, start, len(ids), ids.tobytes(), n, self.next, at))
+            self.out_bytes += ids.nbytes
             at += len(ids)
         self.next += 1
 
@@ -318,7 +337,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
         def taken() -> pa.RecordBatch:
             cols = list(zip(*packer.out, strict=True)) or [[]] * 7
-            packer.out = []
+            packer.out, packer.out_bytes = [], 0
             types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -326,10 +345,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             id_type = b.column(0).type
             for doc_id, ids in zip(b.column(0).to_pylist(), tokenize(b.column(1), tokenizer, end_id), strict=True):
                 packer.add(doc_id, ids)
-                if len(packer.out) >= 4000:
+                if len(packer.out) >= 4000 or packer.out_bytes >= OUT_BYTES:
                     yield taken()
+            K.trim()
         if id_type is not None:
             packer.flush(True)
             yield taken()
 
-    return docs.select("doc_id", "text").mapInArrow(K.trimmed(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(K.trimmed(run, __name__), schema)

@@ -412,6 +412,76 @@ def test_ids_do_not_depend_on_hashes(monkeypatch):
         assert ids.tolist() == enc.whole(text.encode()).tolist() and begin.tolist() == [0, len(ids)], text
 
 
+#: A worker's packing function in a process of its own: prints by how many MB its memory rose over what it holds with a vocabulary.
+PACKING_WORKER = """
+import sys, types
+import numpy as np, pyarrow as pa, pyspark
+from logweave.llm import packing
+def held(name):
+    return int(next(x for x in open("/proc/self/status") if x.startswith(name)).split()[1]) / 1024
+got = {}
+docs = types.SimpleNamespace(sparkSession=None, select=lambda *a: docs, mapInArrow=lambda f, s: got.update(f=f))
+packing.K.prepare = lambda spark: None
+packing.K.schema = lambda df, more: types.SimpleNamespace(names=["doc_id", *(x.split()[0] for x in more.split(", "))])
+pyspark.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+packing.pack(docs, sys.argv[1])
+def batches():
+    rng, word = np.random.default_rng(1), 0
+    for i in range(4):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 400_000, 500)) for _ in range(1000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000 * i, 1000 * i + 1000)), pa.array(texts)], ["doc_id", "text"])
+src = [*batches()]
+packing.encoder(sys.argv[1])
+open("/proc/self/clear_refs", "w").write("5")  # the peak starts anew
+base = held("VmRSS")
+n = sum(b.num_rows for b in got["f"](iter(src)))
+print(n, held("VmHWM") - base)
+"""
+
+
+def test_a_packing_worker_needs_little_memory():
+    """Many distinct words: 110 MB over the vocabulary at most."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", PACKING_WORKER, queries.tokenizer_path()], cwd=common.ROOT, capture_output=True, text=True, timeout=120, check=True).stdout.split()
+    assert int(out[0]) > 4000 and float(out[1]) < 110, out
+
+
+def test_what_packing_remembers_goes_before_other_tasks(spark):
+    import pyarrow as pa
+
+    path = queries.tokenizer_path()
+    enc = packing.encoder(path)
+    assert [*common.trimmed(iter, packing.__name__)([])] == [] and packing.encoder(path) is enc
+    assert [*common.trimmed(iter)([])] == [] and packing.encoder(path) is not enc
+
+    def seen(batches):
+        from logweave.llm import common as c
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(c.remembered)] * b.num_rows)], ["n"])
+
+    # in workers too, which get functions by value
+    one = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
+    for _ in range(4):
+        assert packing.pack(one, path).count() == 1
+    assert [r.n for r in one.mapInArrow(common.trimmed(seen), "n long").collect()] == [0]
+
+
+def test_documents_do_not_wait_with_their_rests():
+    p = packing.Packer(0, 2048, 128, 256)
+    p.add(1, np.arange(2048 * 50 + 10, dtype="<u4"))
+    assert len(p.out) == 50 and [x[2].base for x in p.rest] == [None] and p.rest[0][2].tolist() == [*range(2048 * 50, 2048 * 50 + 10)]
+
+
+def test_decontamination_starts_no_python_workers(spark, monkeypatch):
+    """Rows from a list would go through Python workers of the executors."""
+    frames, bench = small(spark, "documents"), small(spark, "benchmark")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert decontaminate.decontaminate(frames, bench).count() == frames.count()
+
+
 def test_run_hashes():
     rng = np.random.default_rng(7)
     data = rng.integers(97, 100, 40_000).astype(np.uint8)
