@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import gotime, maps, regex
 from . import msgpack
 
+#: Records, and their bytes, that a worker holds before it hands them on.
+CHUNK_ROWS, CHUNK_BYTES = 2000, 1 << 20
+
 #: The environments that a path may name.
 ENVS = ("sit", "perf", "uat", "prod")
 
@@ -29,6 +32,17 @@ def with_id(df: DataFrame, *parts: str) -> Column:
 # --------------------------------------------------------------------------- forward protocol
 
 
+def _entries(packed: bytes) -> Iterator[object]:
+    """The values of a packed frame up to a broken one."""
+    at = 0
+    while at < len(packed):
+        try:
+            e, at = msgpack.unpack(packed, at)
+        except (ValueError, RecursionError):
+            return
+        yield e
+
+
 def _frames(body: bytes) -> Iterator[tuple[str, dict]]:
     """(tag, record) of all frames; a bad frame is dropped, a broken one ends the body."""
     at = 0
@@ -42,17 +56,11 @@ def _frames(body: bytes) -> Iterator[tuple[str, dict]]:
         tag = frame[0].decode("utf-8", "replace") if isinstance(frame[0], bytes) else frame[0]
         if not isinstance(tag, str):
             continue
-        entries = []
+        entries: Iterable[object] = []
         if isinstance(frame[1], list):
             entries = frame[1]
         elif isinstance(frame[1], (bytes, str)):
-            packed, k = frame[1] if isinstance(frame[1], bytes) else frame[1].encode(), 0
-            while k < len(packed):
-                try:
-                    e, k = msgpack.unpack(packed, k)
-                except (ValueError, RecursionError):
-                    break
-                entries.append(e)
+            entries = _entries(frame[1] if isinstance(frame[1], bytes) else frame[1].encode())
         elif len(frame) > 2:
             entries = [[frame[1], frame[2]]]
         for e in entries:
@@ -69,36 +77,61 @@ def _plain(v: object) -> object:
 
 
 def decode_forward(df: DataFrame, body: str = "body") -> DataFrame:
-    """(tag, message, frame_no) and the other columns, a row per record of the frames in ``body``."""
+    """(tag, message, frame_no) and the other columns, a row per record of the frames in ``body``.
+
+    Bodies are not repeated with their records, and rows go on in small batches,
+    so a worker's memory doesn't grow with the records of a partition.
+    """
     out = df.withColumn("__b", F.col(body)).drop(body)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
 
+    def chunk(names: list[str], kept: list[list[pa.Array]], *own: list) -> pa.RecordBatch:
+        rest = [pa.concat_arrays(c) for c in zip(*kept, strict=True)]  # ``take`` would set aside the mean size of all rows for each
+        new = [pa.array(x, kind) for x, kind in zip(own, (pa.string(), pa.string(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*rest, *new], [*names, "tag", "json", "frame_no"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, tags, texts, nos = [], [], [], []
-            for i, v in enumerate(b.column(b.num_columns - 1)):
+            names, rest, tags, texts, nos, held = b.schema.names[:-1], [], [], [], [], 0
+            for i, v in enumerate(b.columns[-1]):
+                row = [c.slice(i, 1) for c in b.columns[:-1]]
+                width = sum(c.nbytes for c in row)
                 for n, (tag, record) in enumerate(_frames(v.as_py() or b"")):
-                    at.append(i)
+                    rest.append(row)
                     tags.append(tag)
                     texts.append(json.dumps(_plain(record), ensure_ascii=False))
                     nos.append(n)
-            rest = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns[:-1], pa.array(tags, pa.string()), pa.array(texts, pa.string()), pa.array(nos, pa.int64())], [*b.schema.names[:-1], "tag", "json", "frame_no"])
+                    held += width + len(tag) + len(texts[-1])
+                    if len(nos) >= CHUNK_ROWS or held >= CHUNK_BYTES:
+                        yield chunk(names, rest, tags, texts, nos)
+                        rest, tags, texts, nos, held = [], [], [], [], 0
+            if nos:
+                yield chunk(names, rest, tags, texts, nos)
 
     rows = out.mapInArrow(run, ", ".join([*kept, "tag string", "json string", "frame_no long"]))
     return rows.withColumn("message", maps.from_json(F.col("json"))).drop("json")
 
 
 def encode_forward(df: DataFrame) -> DataFrame:
-    """(tag, body): one batch frame ``[tag, [[0, record], ...]]`` per tag and partition, at most 500 records each."""
+    """(tag, body): batch frames ``[tag, [[0, record], ...]]`` per tag and partition, at most 500 records and about 1 MB each."""
+
+    def frames(by: dict[str, list]) -> pa.RecordBatch:
+        parts = [(t, r[i : i + 500]) for t, r in by.items() for i in range(0, len(r), 500)]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in parts], pa.string()), pa.array([msgpack.pack([t, r]) for t, r in parts], pa.binary())], ["tag", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, list] = {}
-            for tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(tag, []).append([0, json.loads(text or "{}")])
-            parts = [(t, r[i : i + 500]) for t, r in by.items() for i in range(0, len(r), 500)]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in parts], pa.string()), pa.array([msgpack.pack([t, r]) for t, r in parts], pa.binary())], ["tag", "body"])
+            held = 0
+            for tag, text in zip(b.column(0), b.column(1), strict=True):
+                record = text.as_py() or "{}"
+                by.setdefault(tag.as_py(), []).append([0, json.loads(record)])
+                held += len(record)
+                if held >= CHUNK_BYTES:
+                    yield frames(by)
+                    by, held = {}, 0
+            if by:
+                yield frames(by)
 
     return df.select("tag", F.to_json("message").alias("m")).mapInArrow(run, "tag string, body binary")
 

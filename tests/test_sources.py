@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.request
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,30 @@ def test_forward_frames(spark):
     assert spark.read.format("forward_frames").option("hex", ";".join(g.hex() for g in (single, batch, packed, plain))).load().count() == 7
 
 
+def test_forward_memory(spark, monkeypatch):
+    """Workers hand on a batch's records in parts, and in order."""
+    df, steps = spark.createDataFrame([], "place long, note string, body binary"), []
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda d, run, *a: steps.append(run) or real(d, run, *a))
+    decoders.decode_forward(df)
+    decoders.encode_forward(spark.createDataFrame([], "tag string, message map<string,variant>"))
+    decode, encode = steps
+    bodies = [b"".join(msgpack.pack([f"t{a % 3}", [[0, {"id": i}] for i in range(a, a + 500)]]) for a in range(0, 5000, 500)), msgpack.pack(["u", [[0, {"id": i}] for i in range(500)]])]
+    batch, seen = pa.record_batch([pa.array([7, 8]), pa.array(["short", "n" * 100_000]), pa.array(bodies, pa.binary())], ["place", "note", "body"]), []
+    for out in decode([batch]):
+        assert out.schema.names == ["place", "note", "tag", "json", "frame_no"] and 0 < out.num_rows <= 2000 and out.nbytes < 3 << 20
+        assert all(len(n) == (5 if p == 7 else 100_000) for p, n in zip(out["place"].to_pylist(), out["note"].to_pylist(), strict=True))
+        seen += zip(*(out[c].to_pylist() for c in ("place", "tag", "json", "frame_no")), strict=True)
+    want = [(7, f"t{i // 500 * 500 % 3}", i) for i in range(5000)] + [(8, "u", i) for i in range(500)]
+    assert [(p, t, json.loads(x)["id"], n) for p, t, x, n in seen] == [(p, t, i, i) for p, t, i in want]
+    texts = [json.dumps({"id": i, "log": "x" * 50_000}) for i in range(600)]
+    batch, seen = pa.record_batch([pa.array(["a", "b"] * 300), pa.array(texts)], ["tag", "m"]), []
+    for out in encode([batch]):
+        assert out.nbytes < 3 << 20
+        seen += [(tag, record["id"], len(record["log"])) for raw in out["body"].to_pylist() for tag, record in decoders._frames(raw)]
+    assert sorted(seen, key=lambda r: r[1]) == [("ab"[i % 2], i, 50_000) for i in range(600)]
+
+
 def test_http_bodies(spark):
     salt, noon = "pepper&lime", "2031-07-09T12:00:00.000Z"
     signed = lambda at=noon, **more: json.dumps({"@timestamp": at, "sig": hashlib.md5((at + salt).encode()).hexdigest()} | more)
